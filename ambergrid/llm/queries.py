@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality, toxicity
-from .store import table
+from . import bpe, dedup, quality, sharding, toxicity
+from .store import new_path, table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
@@ -28,7 +32,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs)[1])
 
 
-QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (op1_token_counts, op2_toxicity, op6_byte_bpe, op7_quality)
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), new_path(spark, "slot-map"))
+
+
+QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (op1_token_counts, op2_toxicity, op3_minhash_dedup, op6_byte_bpe, op7_quality, op10_sharding)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
