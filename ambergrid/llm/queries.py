@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, dedup, quality, sharding, toxicity
+from . import bpe, dedup, quality, search, sharding, toxicity
 from .store import new_path, table
 
 
@@ -23,6 +23,10 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top_k(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
@@ -36,7 +40,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), new_path(spark, "slot-map"))
 
 
-QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (op1_token_counts, op2_toxicity, op3_minhash_dedup, op6_byte_bpe, op7_quality, op10_sharding)
+QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (op1_token_counts, op2_toxicity, op3_minhash_dedup, op5_exact_top_k, op6_byte_bpe, op7_quality, op10_sharding)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -44,4 +48,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_exact_top_k": search.ORACLE_SQL}
