@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, dedup, quality, search, sharding, toxicity
+from . import bpe, dedup, ivf, lm, quality, search, sharding, toxicity
 from .store import new_path, table
 
 
@@ -36,11 +36,19 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs)[1])
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+def op9_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ivf.approximate_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), new_path(spark, "slot-map"))
 
 
-QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (op1_token_counts, op2_toxicity, op3_minhash_dedup, op5_exact_top_k, op6_byte_bpe, op7_quality, op10_sharding)
+QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (op1_token_counts, op2_toxicity, op3_minhash_dedup, op5_exact_top_k, op6_byte_bpe, op7_quality, op8_lm_scores, op9_nearest_vectors, op10_sharding)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
