@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, dedup, ivf, lm, quality, search, sharding, toxicity
+from . import bpe, dedup, ivf, lm, packing, quality, search, sharding, toxicity
 from .store import new_path, table
 
 
@@ -23,6 +23,10 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,7 +52,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), new_path(spark, "slot-map"))
 
 
-QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (op1_token_counts, op2_toxicity, op3_minhash_dedup, op5_exact_top_k, op6_byte_bpe, op7_quality, op8_lm_scores, op9_nearest_vectors, op10_sharding)
+QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (op1_token_counts, op2_toxicity, op3_minhash_dedup, op4_packing, op5_exact_top_k, op6_byte_bpe, op7_quality, op8_lm_scores, op9_nearest_vectors, op10_sharding)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
