@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
@@ -11,9 +12,8 @@ from ..functions import values
 
 ENVELOPES = ("records", "items", "data", "rows")
 PACKS = tuple(f"code_{x}.bpack" for x in "seeds bridges routes results patterns".split())
-PACK_IDS = [*(f"{x}_id" for x in "seed pattern route bridge result".split())]
-PACK_IDS = ["id", *PACK_IDS, "name", "status", "result"]
-_SKIP = r"(?i)(\.wal|\.idx)$|tsindex"
+PACK_IDS = ["id", *(f"{x}_id" for x in "seed pattern route bridge result".split()), "name", "status", "result"]
+_SKIP = re.compile(r"(\.wal|\.idx)$|tsindex", re.IGNORECASE)
 
 
 def _files(spark: SparkSession, root: str) -> list[tuple[str, bool]]:
@@ -29,7 +29,7 @@ def _files(spark: SparkSession, root: str) -> list[tuple[str, bool]]:
     while walk.hasNext():
         path = walk.next().getPath()
         name = path.getName()
-        if not pd.Series([name]).str.contains(_SKIP).iloc[0] and name.endswith((".jsonl", ".json")):
+        if not _SKIP.search(name) and name.endswith((".jsonl", ".json")):
             found.append((path.toString(), name.endswith(".jsonl")))
     return sorted(found, key=lambda x: (not x[1], x[0]))
 
@@ -125,7 +125,7 @@ def read_packs(spark: SparkSession, root: str, packs: tuple[str, ...] = PACKS) -
     lines = spark.createDataFrame([], "pack_no int, pack string, line int, raw string")
     for no, pack in enumerate(packs):
         if pack in there:
-            whole = spark.read.format("binaryFile").load(there[pack]).select(F.decode("content", F.lit("UTF-8")).alias("text"))
+            whole = spark.read.format("binaryFile").load(there[pack]).select(F.decode("content", "UTF-8").alias("text"))
             each = whole.select(F.posexplode(F.split(F.regexp_replace("text", "^﻿", ""), "\n")).alias("line", "raw"))
             lines = lines.unionByName(each.select(F.lit(no).alias("pack_no"), F.lit(pack).alias("pack"), (F.col("line") + 1).alias("line"), F.trim("raw").alias("raw")))
     lines = lines.where("raw != ''").withColumn("json", F.try_parse_json("raw"))
