@@ -21,7 +21,7 @@ from .kernel import lowered_words, slices
 from .store import discard, persist
 
 WINDOW = 2048
-DIM, K = 12, 6
+DIM, K = 16, 8
 #: Documents per cell and per region, on average.
 CELL, REGION = 1_000, 20_000
 
@@ -54,16 +54,27 @@ def graph(vecs: DataFrame, centroids: np.ndarray, probes: int) -> DataFrame:
     return near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).distinct()
 
 
-def walk(ids: np.ndarray, degree: np.ndarray, edges: dict[int, list[tuple[float, int]]]) -> list[int]:
-    """All ids in the order of greedy paths. edges: (distance, id) of each id's neighbours, any of them absent from ids."""
-    order = [int(i) for i in ids[np.lexsort((ids, degree))]]
-    free = set(order)
-    out = []
-    for at in order:
-        while at is not None and at in free:
-            out.append(at)
-            free.discard(at)
-            at = next((i for _, i in edges.get(at, ()) if i in free), None)
+def walk(ids: np.ndarray, degree: np.ndarray, edges: dict[int, list[tuple[float, int]]], vectors: np.ndarray | None = None) -> list[int]:
+    """All ids in the order of greedy paths. edges: (distance, id) of each id's neighbours, any of them absent from ids.
+
+    Of several unvisited ids of lowest degree, a path starts at the one whose vector is nearest to
+    the end of the path before; without vectors, and for the first path, at the lowest id.
+    """
+    row = {int(x): i for i, x in enumerate(ids)}
+    visited = np.zeros(len(ids), bool)
+    out: list[int] = []
+    for level in np.unique(degree):
+        pool = np.flatnonzero(degree == level)
+        pool = pool[np.argsort(ids[pool], kind="stable")]
+        while len(pool := pool[~visited[pool]]):
+            start = pool[0]
+            if vectors is not None and out:
+                start = pool[np.square(vectors[pool] - vectors[row[out[-1]]]).sum(1).argmin()]
+            at = int(ids[start])
+            while at is not None:
+                out.append(at)
+                visited[row[at]] = True
+                at = next((i for _, i in edges.get(at, ()) if i in row and not visited[row[i]]), None)
     return out
 
 
@@ -121,15 +132,15 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     placed = persist(nodes.mapInArrow(place, "id bigint, region bigint, v binary"), "placed")
     linked = edges.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("d", F.col("b").alias("id")))).alias("near"))
     # members of a node, with their sizes, in the order of their ids
-    members = embedded.join(placed.withColumnRenamed("id", "node"), "v").groupBy("node").agg(F.first("region").alias("region"), F.sort_array(F.collect_list(F.struct("id", "n"))).alias("members"))
-    table = members.join(linked, members["node"] == linked["a"], "left").select("region", "node", "members", F.col("near.d").alias("d"), F.col("near.id").alias("to"))
+    members = embedded.join(placed.withColumnRenamed("id", "node"), "v").groupBy("node").agg(F.first("region").alias("region"), F.first("v").alias("v"), F.sort_array(F.collect_list(F.struct("id", "n"))).alias("members"))
+    table = members.join(linked, members["node"] == linked["a"], "left").select("region", "node", "v", "members", F.col("near.d").alias("d"), F.col("near.id").alias("to"))
 
     def lay(key: tuple, t: pa.Table) -> pa.Table:
         ids = t["node"].to_numpy()
         near = {i: list(zip(d, to, strict=True)) for i, d, to in zip(ids.tolist(), t["d"].to_pylist(), t["to"].to_pylist(), strict=True) if to}
         degree = np.array([len(near.get(i, ())) for i in ids.tolist()])
         of = dict(zip(ids.tolist(), t["members"].to_pylist(), strict=True))
-        path = [m for i in walk(ids, degree, near) for m in of[i]]
+        path = [m for i in walk(ids, degree, near, ivf.matrix(t["v"], DIM)) for m in of[i]]
         rows = fill(np.array([m["id"] for m in path]), np.array([m["n"] for m in path]), window)
         out = [pa.array((key[0].as_py() << 40) + rows["window_no"].to_numpy()), pa.array(rows["position"], pa.int32()), *(pa.array(rows[c].to_numpy()) for c in ("id", "begin", "stop"))]
         return pa.Table.from_arrays(out, names=["window_id", "position", id_col, "start_token", "end_token"])
