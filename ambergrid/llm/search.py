@@ -16,7 +16,6 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .kernel import lowered_words, slices
@@ -26,6 +25,8 @@ K1, B = 1.2, 0.75
 BLOCK = 256
 #: Queries that are answered in one pass over the index; more of them take several passes.
 BATCH = 20_000
+#: Blocks that a worker holds unpacked at a time.
+GROUP = 256
 DIGITS = 6
 _HALF = 0.5 * 10.0**-DIGITS
 
@@ -138,7 +139,7 @@ def _statistics(index: DataFrame, n_terms: int) -> tuple[int, float, np.ndarray]
 
 
 def _wave(index: DataFrame, shared, stats, floor, k: int, first: bool) -> DataFrame:
-    """Each partition's top k of every query. first: of the block with the highest bound only.
+    """Each partition's top k of every query. first: of the block with the highest bound (in each group) only.
 
     floor: for each query a k-th score that is known to be reached.
     """
@@ -148,18 +149,17 @@ def _wave(index: DataFrame, shared, stats, floor, k: int, first: bool) -> DataFr
         n_docs, mean, df = stats.value
         idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
         weight = lambda t, tf, n: idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / mean))
-        blocks = [_Block(r, weight, len(q.terms)) for b in batches for r in b.to_pylist()]
-        out: list[tuple[int, int, float]] = []
-        if blocks:
+        heaps: list[list[tuple[float, int]]] = [[] for _ in q.ids]  # of (score, -id): a root is the one to beat
+        dense = np.zeros(len(q.terms))
+
+        def search(blocks: list[_Block]) -> None:
             most = np.stack([b.most for b in blocks])
-            dense = np.zeros(len(q.terms))
-            for i in range(len(q.ids)):
+            for i, best in enumerate(heaps):
                 term, tf = q.term[q.offset[i] : q.offset[i + 1]], q.tf[q.offset[i] : q.offset[i + 1]]
                 if not len(term):
                     continue
                 bound = most[:, term] @ tf
                 dense[term] = tf
-                best: list[tuple[float, int]] = []  # a heap of (score, -id): its root is the one to beat
                 for at in np.argsort(-bound, kind="stable")[: 1 if first else None]:
                     least = max(floor.value[i], best[0][0] if len(best) == k else 0.0)
                     if bound[at] <= 0 or bound[at] + _HALF < least:
@@ -171,8 +171,13 @@ def _wave(index: DataFrame, shared, stats, floor, k: int, first: bool) -> DataFr
                         elif (s, -d) > best[0]:
                             heapq.heapreplace(best, (s, -d))
                 dense[term] = 0
-                out += [(int(q.ids[i]), -d, s) for s, d in best]
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "doc_id", "score"])
+
+        # some blocks at a time: a partition's may be more than a worker should hold unpacked
+        for b in batches:
+            for at in range(0, b.num_rows, GROUP):
+                search([_Block(r, weight, len(q.terms)) for r in b.slice(at, GROUP).to_pylist()])
+        out = [(int(x), -d, s) for x, best in zip(q.ids, heaps, strict=True) for s, d in best]
+        yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "doc_id", "score"])
 
     return index.mapInArrow(run, "query_id bigint, doc_id bigint, score double")
 
