@@ -16,7 +16,8 @@ from pyspark.sql import Column, functions as F, types as T
 
 
 def canonical(payload: object, allow_nan: bool = True) -> bytes:
-    return json.dumps(payload, ensure_ascii=False, allow_nan=allow_nan, separators=(",", ":"), sort_keys=True).encode()
+    text = json.dumps(payload, separators=(",", ":"), sort_keys=True, ensure_ascii=False, allow_nan=allow_nan)
+    return text.encode()
 
 
 def record_id(raw: bytes) -> int:

@@ -88,14 +88,19 @@ def _bound(df: DataFrame, name: str, millis: int, lower: bool) -> Column:
 
 def parse_ts(value: object) -> int | None:
     """The rule of ``ts_millis`` for one JSON value."""
-    if isinstance(value, bool) or value is None:
-        return None
-    if isinstance(value, int):
-        return value
-    if isinstance(value, float):
-        return int(value) if abs(value) < float("inf") else None
-    if not isinstance(value, str) or not (text := value.strip()):
-        return None
+    match value:
+        case bool():
+            return None
+        case int():
+            return value
+        case float():
+            return int(value) if abs(value) < float("inf") else None
+        case str() if value.strip():
+            return _parse_ts_text(value.strip())
+    return None
+
+
+def _parse_ts_text(text: str) -> int | None:
     try:
         return int(text) if _WHOLE.fullmatch(text) else int(float(text))
     except (ValueError, OverflowError):

@@ -11,4 +11,9 @@ _FIND = re.compile(rf"find\s+({'|'.join(ATTRIBUTES)})\s*=\s*(.+)", re.IGNORECASE
 def parse(text: str) -> tuple[str, str] | None:
     """Attribute and value without quotes, or None for any other text."""
     found = _FIND.fullmatch(text.strip())
-    return (found[1].lower(), found[2].strip().strip('"').strip("'")) if found else None
+    if not found:
+        return None
+    value = found[2].strip()
+    for quote in "\"'":
+        value = value.strip(quote)
+    return found[1].lower(), value

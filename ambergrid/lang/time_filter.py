@@ -19,12 +19,12 @@ def parse(text: str) -> dict:
         sign, number = found.groups()
         if not (number.isascii() and number.isdigit()):
             raise TimeFilterError("a timestamp is a whole, non-negative number of unix milliseconds")
-        return {"field": "ts", "op": sign, "value": int(number)}
+        return dict(op=sign, value=int(number), field="ts")
     if found := re.fullmatch(r"(?i:ts)\s+(?i:in)\s+(\w+)", words, re.ASCII):
         name = found[1].lower()
         if name not in WINDOWS:
             raise TimeFilterError(f"no timestamp window is called {found[1]}")
-        return {"field": "ts", "op": "in_window", "window": name}
+        return dict(op="in_window", window=name, field="ts")
     field = re.match(r"[A-Za-z_]\w*\b", words, re.ASCII)
     if field and field[0].lower() != "ts":
         raise TimeFilterError(f"only ts takes the operators of a timestamp filter, not {field[0]}")
@@ -33,16 +33,16 @@ def parse(text: str) -> dict:
 
 def record_ts(value: object) -> int | None:
     """Milliseconds of a JSON value by the strict rule: non-negative whole numbers, or their digits as text."""
-    if isinstance(value, dict):
-        value = value.get("ts")
-    if isinstance(value, bool) or value is None:
-        return None
-    if isinstance(value, float):
-        return int(value) if value >= 0 and value.is_integer() else None
-    if isinstance(value, str):
-        digits = value.strip()
-        return int(digits) if digits.isascii() and digits.isdigit() else None
-    return value if isinstance(value, int) and value >= 0 else None
+    match value.get("ts") if isinstance(value, dict) else value:
+        case bool():
+            return None
+        case int() as n if n >= 0:
+            return n
+        case float() as x if x >= 0 and x.is_integer():
+            return int(x)
+        case str() as text if text.strip().isascii() and text.strip().isdigit():
+            return int(text)
+    return None
 
 
 def matches(value: object, predicate: dict, now_ms: int) -> bool:

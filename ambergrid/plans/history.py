@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 import time
 from pathlib import Path
 
+from ..functions.canonical import canonical
 from ..operators.snapshots import write_atomic
 
 VERSION = "V03G9_QUERY_HISTORY_AND_EXPLAIN_TRACE"
 SECRETS = frozenset("secret token password api_key authorization credential".split())
 TEXT, ITEMS, DEPTH, ENTRIES = 240, 32, 5, 1000
-STAGES = ("parse", "plan", "filter", "execute", "return")
+STAGES = tuple("parse plan filter execute return".split())
 
 
 def normal(text: object) -> str:
@@ -50,14 +52,18 @@ def clean(value: object, depth: int = 0) -> object:
     return cut(f"<{type(value).__name__}:{value}>")
 
 
+def _with_folder(path: str | Path) -> Path:
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    return Path(path)
+
+
 def record(path: str | Path, text: str, status: str, elapsed_ms: int, result_count: int, plan_version: str = VERSION, extras: dict | None = None, keep: int = ENTRIES) -> dict:
     """Append an entry and keep the newest ``keep`` of them."""
     row = {"query_hash": query_hash(text, plan_version), "timestamp": int(time.time() * 1000), "status": cut(status), "elapsed_ms": max(0, int(elapsed_ms or 0)), "result_count": max(0, int(result_count or 0))}
     row |= {"plan_version": cut(plan_version), "safety_flags": dict.fromkeys(("read_only", "no_write"), True), "extras": clean(extras or {}), "feature_version": VERSION, "bounded_metadata_only": True}
-    path = Path(path)
-    path.parent.mkdir(parents=True, exist_ok=True)
+    path = _with_folder(path)
     old = [x for x in path.read_text(errors="replace").splitlines() if x.strip()] if path.exists() else []
-    lines = [*old, json.dumps(row, sort_keys=True, ensure_ascii=False, separators=(",", ":"))]
+    lines = [*old, canonical(row).decode()]
     write_atomic(path, "".join(f"{x}\n" for x in lines[-max(1, int(keep)) :]).encode())
     return row
 
@@ -79,10 +85,9 @@ def trace(folder: str | Path, key: str, steps: list[dict], plan_version: str = V
     by_name = {s.get("name"): s for s in steps if isinstance(s, dict)}
     now = int(time.time() * 1000)
     none = {"started_at": now, "finished_at": now, "elapsed_ms": 0, "summary": "stage metadata unavailable", "diagnostics": {}}
-    doc = {"type": "BQL_EXPLAIN_TRACE", "query_hash": str(key), "created_at": now, "plan_version": cut(plan_version), "feature_version": VERSION}
+    doc = {"query_hash": str(key), "created_at": now, "type": "BQL_EXPLAIN_TRACE", "plan_version": cut(plan_version), "feature_version": VERSION}
     doc |= {"bounded_metadata_only": True, "extras": clean(extras or {}), "stages": [clean(by_name.get(n) or {"name": n} | none) for n in STAGES]}
     name = re.sub(r"[^\w-]", "", str(key)) or hashlib.sha256(str(key).encode(errors="replace")).hexdigest()
-    path = Path(folder) / f"{name[:128]}.json"
-    path.parent.mkdir(parents=True, exist_ok=True)
+    path = _with_folder(Path(folder) / f"{name[:128]}.json")
     write_atomic(path, json.dumps(doc, sort_keys=True, ensure_ascii=False, indent=2).encode())
     return str(path)

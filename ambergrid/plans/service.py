@@ -17,7 +17,7 @@ from ..lang import bql
 from ..lang.errors import ParseError, code_of
 from . import engine
 
-LOCAL = ("127.0.0.1", "localhost", "::1")
+LOCAL = frozenset("localhost 127.0.0.1 ::1".split())
 MAX_LINE = 10 * 1024 * 1024
 
 
@@ -77,7 +77,8 @@ def main(argv: list[str] | None = None) -> int:
     try:
         query = bql.parse(args.text)
     except ParseError as error:
-        print(json.dumps({"ok": False, "status": error.code, "message": str(error)}))
+        refusal = dict(ok=False, message=str(error), status=error.code)
+        print(json.dumps(refusal))
         return 2
     if args.command != "query":
         print(json.dumps(query.as_dict() if args.command == "parse" else engine.explain(query), ensure_ascii=False, sort_keys=True))

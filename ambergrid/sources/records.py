@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 
 from ..functions import values
 
-ENVELOPES = ("records", "items", "data", "rows")
+ENVELOPES = tuple("records items data rows".split())
 PACKS = tuple(f"code_{x}.bpack" for x in "seeds bridges routes results patterns".split())
 PACK_IDS = ["id", *(f"{x}_id" for x in "seed pattern route bridge result".split()), "name", "status", "result"]
 _SKIP = re.compile(r"(\.wal|\.idx)$|tsindex", re.IGNORECASE)

@@ -61,9 +61,9 @@ def test_first_return_ends_the_filter_even_in_quotes():
 
 
 def test_ts_equality_is_plain_and_depth_is_a_number():
-    assert bql.parse_filter("ts = 5") == {"field": "ts", "op": "=", "value": "5"}
+    assert bql.parse_filter("ts = 5") == dict(op="=", value="5", field="ts")
     assert bql.parse_filter("depth = 2")["value"] == 2
-    assert bql.parse_filter("TS > 5") == {"field": "ts", "op": ">", "value": 5}
+    assert bql.parse_filter("TS > 5") == dict(op=">", value=5, field="ts")
 
 
 def test_windows_are_closed_and_end_now():
