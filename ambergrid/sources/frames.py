@@ -176,6 +176,36 @@ def encode_batch_record(payload: bytes, kind: int = 0, trust: int = 0) -> bytes:
     return _RECORD.pack(record_id(payload), kind, trust, len(payload), crc32(payload)) + payload
 
 
+def encode_lab(logical_id: str, payload: bytes, kind: int = 0, trust: int = 0) -> bytes:
+    """The laboratory layout of one record: magic, version, kind, trust, both lengths, CRC, SHA-256, content."""
+    name = logical_id.encode()
+    front = struct.pack("<4sHBBHI", b"BRS1", 1, kind, trust, len(name), len(payload))
+    return front + struct.pack("<I", zlib.crc32(name + payload)) + hashlib.sha256(front + name + payload).digest() + name + payload
+
+
+def decode_lab(data: bytes) -> dict:
+    if len(data) < 50 or data[:6] != b"BRS1\1\0":
+        raise FrameError("not a laboratory record")
+    kind, trust, n, m = struct.unpack_from("<BBHI", data, 6)
+    name, payload = data[50 : 50 + n], data[50 + n :]
+    if len(payload) != m or encode_lab(name.decode(), payload, kind, trust) != data:
+        raise ChecksumError("laboratory record is damaged")
+    return {"kind": kind, "trust": trust, "logical_id": name.decode(), "payload": payload, "record_id_hex": data[18:50].hex()}
+
+
+def write_manifest(path: str, files: list[str]) -> dict:
+    """A manifest with the SHA-256 and size of each file."""
+    entries = {}
+    for f in files:
+        with open(f, "rb") as file:
+            data = file.read()
+        entries[os.path.basename(f)] = {"sha256": hashlib.sha256(data).hexdigest(), "bytes": len(data)}
+    manifest = {"files": entries, "created_ms": int(time.time() * 1000)}
+    with open(path, "w") as out:
+        json.dump(manifest, out, sort_keys=True, indent=2)
+    return manifest
+
+
 def verify_file(path: str, kind: str | None = None) -> dict:
     with open(path, "rb") as file:
         data = file.read()

@@ -73,6 +73,11 @@ def read_json(spark: SparkSession, root: str) -> DataFrame:
     return _numbered(parts).select("ord", "raw")
 
 
+def resolve_lines(records: DataFrame, refs: DataFrame) -> DataFrame:
+    """The records at given positions (a column ``ord``)."""
+    return records.join(refs.select("ord").distinct(), "ord", "left_semi")
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _items(documents: pd.Series) -> pd.Series:
     def one(text: str) -> list[str]:

@@ -81,3 +81,13 @@ def test_snapshots_fall_back(tmp_path):
     assert snapshots.recover(tmp_path)["recovered_version"] == 3, "complete versions count without activation"
     with pytest.raises(snapshots.NoSnapshot):
         snapshots.recover(tmp_path / "none")
+
+
+def test_lab_record_and_manifest(tmp_path):
+    data = frames.encode_lab("é", b"{}", 3, 1)
+    assert frames.decode_lab(data)["logical_id"] == "é" and frames.decode_lab(data)["payload"] == b"{}"
+    for wrong in (data[:-1], data + b"x", data[:20] + b"!" + data[21:], b""):
+        with pytest.raises(frames.FrameError):
+            frames.decode_lab(wrong)
+    (tmp_path / "f").write_bytes(b"abc")
+    assert frames.write_manifest(str(tmp_path / "m"), [str(tmp_path / "f")])["files"]["f"]["bytes"] == 3
