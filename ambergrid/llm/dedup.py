@@ -4,9 +4,10 @@ One hash per shingle fills one of SLOTS bins with its minimum; empty bins copy t
 universal hash of (bin, attempt) picks, the same for every document (optimal densification), so
 that two documents agree in a bin with a probability of their Jaccard similarity. BANDS groups of
 ROWS bins are hashed to buckets. In a bucket every member is paired with the smallest id only: n
-members give n - 1 pairs. Pairs whose signatures agree in at least THRESHOLD of the bins are edges;
-members that don't match their star's centre form further stars among themselves. Groups are the
-connected components.
+members give n - 1 pairs. Pairs whose similarity reaches THRESHOLD are edges: the share of bins in
+which their signatures agree or, for two texts of at most SMALL shingles, where that share says
+little, the exact Jaccard similarity of the shingles. Members that don't match their star's centre
+form further stars among themselves. Groups are the connected components.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from .store import discard, persist
 
 SHINGLE = 3
 SLOTS, BANDS, ROWS = 128, 42, 3
-THRESHOLD = 0.5
+THRESHOLD, SMALL = 0.5, 128
 EMPTY = np.uint32(0xFFFFFFFF)
 _COEFFICIENTS = mix(np.arange(1, 64, dtype=np.uint64)) | np.uint64(1)
 
@@ -74,16 +75,42 @@ def signatures(words: Words) -> np.ndarray:
     return filled
 
 
+def sketches(words: Words) -> list[bytes]:
+    """Per text its signature and, for texts of at most SMALL distinct shingles, these, sorted, 32 bits each."""
+    sig = signatures(words)
+    h, doc = shingles(words)
+    few = np.bincount(doc, minlength=len(sig))[doc] <= 4 * SMALL
+    key = np.unique((doc[few].astype(np.uint64) << np.uint64(32)) | (h[few] >> np.uint64(32)))
+    at = np.searchsorted(key >> np.uint64(32), np.arange(len(sig) + 1, dtype=np.uint64))
+    value = key.astype(np.uint32)
+    return [s.tobytes() + (value[i:j].tobytes() if j - i <= SMALL else b"") for s, i, j in zip(sig, at[:-1], at[1:], strict=True)]
+
+
+def _signature_rows(packed: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join([x[: SLOTS * 4] for x in packed]), np.uint32).reshape(-1, SLOTS)
+
+
+def alike(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """Which pairs of sketches reach THRESHOLD."""
+    out = (_signature_rows(left) == _signature_rows(right)).mean(1) >= THRESHOLD
+    for i, (a, b) in enumerate(zip(left, right, strict=True)):
+        if len(a) > SLOTS * 4 < len(b):
+            x, y = np.frombuffer(a, np.uint32, offset=SLOTS * 4), np.frombuffer(b, np.uint32, offset=SLOTS * 4)
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            out[i] = common >= THRESHOLD * (len(x) + len(y) - common)
+    return out
+
+
 def _sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for b in batches:
             for part in slices(b, "text"):
                 words = lowered_words(part.column("text"))
-                sig = signatures(words)
+                packed = sketches(words)
                 some = np.diff(words.offset) > 0
-                key = mix((sig.astype(np.uint64) * _COEFFICIENTS[np.arange(SLOTS) % 63] * (np.arange(SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1))).sum(1, dtype=np.uint64)).view(np.int64)
-                raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(SLOTS * 4), len(sig), [None, pa.py_buffer(np.ascontiguousarray(sig).data)]).cast(pa.binary()) if len(sig) else pa.array([], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(key), raw], names=["id", "key", "sig"]).filter(pa.array(some))
+                sig = _signature_rows(packed).astype(np.uint64)
+                key = mix((sig * _COEFFICIENTS[np.arange(SLOTS) % 63] * (np.arange(SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1))).sum(1, dtype=np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(key), pa.array(packed, pa.binary())], names=["id", "key", "sig"]).filter(pa.array(some))
 
     picked = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return picked.mapInArrow(run, "id bigint, key bigint, sig binary")
@@ -92,7 +119,7 @@ def _sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _bands(reps: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for b in batches:
-            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(-1, SLOTS).astype(np.uint64)
+            sig = _signature_rows(b.column("sig").to_pylist()).astype(np.uint64)
             ids = b.column("id").to_numpy(zero_copy_only=False)
             for band in range(BANDS):
                 h = np.full(len(sig), (band + 1) * 0xD6E8FEB86659FD93 % (1 << 64), np.uint64)
@@ -104,14 +131,11 @@ def _bands(reps: DataFrame) -> DataFrame:
 
 
 def _matching(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """``pairs`` (a, b, ...) with ``same``: whether the signatures of a and b agree enough."""
+    """``pairs`` (a, b, ...) with ``same``: whether a and b are alike."""
 
     @F.pandas_udf("boolean")
     def same(left: pd.Series, right: pd.Series) -> pd.Series:
-        if not len(left):
-            return pd.Series([], dtype=bool)
-        x, y = (np.frombuffer(b"".join(s), np.uint32).reshape(-1, SLOTS) for s in (left, right))
-        return pd.Series((x == y).mean(1) >= THRESHOLD)
+        return pd.Series(alike(left.tolist(), right.tolist()), dtype=bool)
 
     a, b = reps.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), reps.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"))
     return pairs.join(a, "a").join(b, "b").withColumn("same", same("sig_a", "sig_b")).drop("sig_a", "sig_b")
@@ -120,11 +144,11 @@ def _matching(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 def _stars(group: pd.DataFrame) -> pd.DataFrame:
     """Edges among a bucket's members that didn't match its centre: greedy stars by ascending id."""
     group = group.sort_values("id").drop_duplicates("id")
-    ids, sig = group["id"].to_numpy(), np.frombuffer(b"".join(group["sig"]), np.uint32).reshape(-1, SLOTS)
+    ids, packed = group["id"].to_numpy(), group["sig"].tolist()
     left, out = np.arange(len(ids)), []
     while len(left) > 1:
         centre, left = left[0], left[1:]
-        hit = np.concatenate([(sig[left[i : i + 65536]] == sig[centre]).mean(1) >= THRESHOLD for i in range(0, len(left), 65536)])
+        hit = np.concatenate([alike([packed[centre]] * len(part), [packed[i] for i in part]) for part in np.split(left, range(8192, len(left), 8192))])
         out += [(ids[centre], ids[x]) for x in left[hit]]
         left = left[~hit]
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")

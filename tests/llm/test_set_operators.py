@@ -2,6 +2,7 @@
 
 import collections
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -40,9 +41,16 @@ def docs(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def shingle_set(text):
+    words = re.findall(r"[0-9a-z\x80-\U0010ffff]+", (text or "").lower())
+    return {tuple(words[i : i + dedup.SHINGLE]) for i in range(max(1, len(words) - dedup.SHINGLE + 1))} if words else set()
+
+
 def brute_groups(ids, texts):
-    """Components of all pairs whose signatures agree enough."""
+    """Components of all pairs that are alike: by their sets if both are small, else by signatures."""
     sig = dedup.signatures(kernel.lowered_words(pa.array(texts)))
+    sets = [shingle_set(t) for t in texts]
+    small = [0 < len(s) <= dedup.SMALL for s in sets]
     root = {i: i for i in ids}
 
     def find(x):
@@ -51,8 +59,13 @@ def brute_groups(ids, texts):
         return x
 
     for i in range(len(ids)):
-        for j in np.flatnonzero((sig[i + 1 :] == sig[i]).mean(1) >= dedup.THRESHOLD) + i + 1:
-            if sig[i, 0] != dedup.EMPTY:
+        agree = (sig == sig[i]).mean(1) >= dedup.THRESHOLD
+        for j in range(i + 1, len(ids)):
+            if small[i] and small[j]:
+                match = len(sets[i] & sets[j]) >= dedup.THRESHOLD * len(sets[i] | sets[j])
+            else:
+                match = agree[j] and bool(sets[i]) and bool(sets[j])
+            if match:
                 a, b = sorted((find(ids[i]), find(ids[j])))
                 root[b] = a
     return {i: find(i) for i in ids}
@@ -77,6 +90,13 @@ def test_signatures_estimate_jaccard():
         assert (sig[0] == sig[1]).mean() == pytest.approx(len(x & y) / len(x | y), abs=0.15)
 
 
+def test_short_texts_are_compared_exactly(spark):
+    shared = "a b c d e f g h"
+    rows = [(0, f"{shared} i j k l m n o p q r s t"), (1, f"{shared} z y x w v u"), (2, f"{shared} i j k l m n o p q r s"), (3, shared), (4, f"{shared} i")]
+    got = {r["doc_id"]: r["group_id"] for r in dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_groups([i for i, _ in rows], [t for _, t in rows]) == {0: 0, 1: 1, 2: 0, 3: 1, 4: 1}
+
+
 def test_densified_bins_agree_as_often_as_sets_do():
     pairs = [(" ".join(f"a{k}w{i}" for i in range(12)), " ".join(f"a{k}w{i}" for i in range(14))) for k in range(300)]
     sig = dedup.signatures(kernel.lowered_words(pa.array([t for p in pairs for t in p])))
