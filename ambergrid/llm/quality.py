@@ -239,9 +239,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_sam
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(shares, pa.binary()), pa.array(posterior)], names=["ids", "shares", "good"])
 
     chosen = docs.where(F.coalesce(_share(max_sample, n_docs, id_col, 3), F.lit(False))).select(text_col)
-    found = chosen.mapInArrow(sample, "ids binary, shares binary, good double").toArrow().to_pylist()
-    found = sorted((r["ids"], r["shares"], r["good"]) for r in found if r["ids"])
-    return model, fit_scorer([(np.frombuffer(i, np.int32), np.frombuffer(s, np.float32), g) for i, s, g in found])
+    rows = chosen.mapInArrow(sample, "ids binary, shares binary, good double").toArrow()
+    found = zip(*(rows[c] for c in ("ids", "shares", "good")), strict=True)
+    found = [(np.frombuffer(i.as_buffer(), np.int32), np.frombuffer(s.as_buffer(), np.float32), g.as_py()) for i, s, g in found if len(i.as_buffer())]  # views, not copies
+    # by content: the order of tasks must not change the model
+    found.sort(key=lambda x: (len(x[0]), x[2], x[1].sum(), x[0].sum()))
+    return model, fit_scorer(found)
 
 
 def _probability(texts: pa.Array, scorer: Scorer) -> np.ndarray:

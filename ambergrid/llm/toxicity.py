@@ -149,13 +149,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 words = lowered_words(part.column("_text"), PREFIXES)
                 found = features(words)
                 lists = [found[i:j].tobytes() for i, j in zip(words.offset[:-1], words.offset[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.binary()), part.column("_positive"), part.column("_unlabelled")], names=["found", "positive", "unlabelled"])
-
-    rows = sample.mapInArrow(run, "found binary, positive boolean, unlabelled boolean").toArrow()
-    # sorted: the order of tasks must not change the model
-    found = sorted((bytes(x), p, u) for x, p, u in zip(rows["found"].to_pylist(), rows["positive"].to_pylist(), rows["unlabelled"].to_pylist(), strict=True) if x)
-    lists = [(np.frombuffer(x, np.int32), p, u) for x, p, u in found]
-    return train([x for x, p, _ in lists if p], [x for x, _, u in lists if u], prior)
+                key = np.append(0, np.cumsum(words.hash, dtype=np.uint64))
+                key = (key[words.offset[1:]] - key[words.offset[:-1]]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(lists, pa.binary()), part.column("_positive"), part.column("_unlabelled")], names=["key", "found", "positive", "unlabelled"]).filter(pa.array(np.diff(words.offset) > 0))
+
+    rows = sample.mapInArrow(run, "key bigint, found binary, positive boolean, unlabelled boolean").toArrow()
+    lists = [np.frombuffer(x.as_buffer(), np.int32) for x in rows["found"]]  # views, not copies
+    # by content: the order of tasks must not change the model
+    order = np.argsort(rows["key"].to_numpy(), kind="stable")
+    positive, unlabelled = (rows[c].to_numpy() for c in ("positive", "unlabelled"))
+    return train([lists[i] for i in order if positive[i]], [lists[i] for i in order if unlabelled[i]], prior)
 
 
 def _probability(texts: pa.Array, model: Model) -> np.ndarray:
