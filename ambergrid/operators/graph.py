@@ -66,8 +66,8 @@ def neighbours(edges: DataFrame, start: DataFrame, radius: int, direction: str)
     """``node`` and its least ``depth`` (0: the start) within ``radius`` steps over edges (src, dst).
 
     down: along edges. up: against them. up_down: both. lateral: nodes that share a source with
-    the node. Each round joins only the newest level with the edges and drops what is known; every
-    level is written by its shuffle, so the plan is a chain of at most three joins.
+    the node. Each round joins only the newest level with the edges and drops what is known; levels
+    are kept (memory, then disk) so that later ones don't compute them again.
     """
     down = edges.select("src", "dst")
     up = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
@@ -80,6 +80,7 @@ def neighbours(edges: DataFrame, start: DataFrame, radius: int, direction: str)
     level = seen.select("node")
     for depth in range(1, min(radius, MAX_RADIUS) + 1):
         reached = steps.join(level, steps["src"] == level["node"], "left_semi").select(F.col("dst").alias("node")).distinct()
-        level = reached.join(seen.select("node"), "node", "left_anti")
+        # each level is used by all later ones; a lost block is computed again from its lineage
+        level = reached.join(seen.select("node"), "node", "left_anti").persist()
         seen = seen.unionByName(level.select("node", F.lit(depth).alias("depth")))
     return seen
