@@ -1,9 +1,10 @@
-"""Inverted files: coarse centroids, probing, product-quantised residuals, exact reranking.
+"""Inverted files: coarse centroids, probing, bounds from product-quantised residuals, exact reranking.
 
 Every vector is a query. Centroids and codebooks come from Lloyd rounds over all vectors, each round
 an aggregate of per-partition sums. How many cells a query probes is measured: a few hundred queries
 are answered by brute force over all vectors, and the smallest number of cells that holds the
-target share of their true neighbours is taken.
+target share of their true neighbours is taken. In the probed cells nothing is lost: every vector
+that the bounds can't rule out is measured.
 """
 
 from __future__ import annotations
@@ -180,36 +181,57 @@ class FlatScan:
     def __init__(self, dim: int):
         self.dim = dim
 
-    def __call__(self, queries: np.ndarray, listed: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray | None]:
-        d = distances(queries, listed)
-        return d, None
+    def __call__(self, queries: np.ndarray, listed: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+        return distances(queries, listed)
 
 
 class QuantisedScan:
-    """Distances from per-query tables over the residuals' codes; the best ``depth`` are then measured exactly."""
+    """Bounds of distances from per-query tables over the residuals' codes; what they can't rule out is measured exactly.
 
-    def __init__(self, centroids: np.ndarray, books: np.ndarray, depth: int):
-        self.centroids, self.books, self.depth = centroids, books, depth
+    A vector is as far from the query as its code is, give or take the distance between vector and
+    code. Those whose least distance exceeds the k-th smallest greatest distance are ruled out.
+    """
+
+    def __init__(self, centroids: np.ndarray, books: np.ndarray):
+        self.centroids, self.books = centroids, books
 
     def encode(self, residual: np.ndarray) -> np.ndarray:
         width = self.books.shape[2]
         return np.stack([nearest(np.ascontiguousarray(residual[:, s * width : (s + 1) * width]), book)[:, 0] for s, book in enumerate(self.books)], axis=1)
 
-    def __call__(self, queries: np.ndarray, listed: np.ndarray, own: np.ndarray, k: int, cell: int = 0) -> tuple[np.ndarray, np.ndarray | None]:
-        centre, width = self.centroids[cell], self.books.shape[2]
-        codes = self.encode(listed - centre)
-        rest = queries - centre
+    def prepare(self, listed: np.ndarray, cell: int) -> tuple[np.ndarray, np.ndarray, float]:
+        """Codes of a cell's vectors, their distances from their codes, and the largest square of a code's length."""
+        residual = listed - self.centroids[cell]
+        codes = self.encode(residual)
+        decoded = np.concatenate([book[codes[:, s]] for s, book in enumerate(self.books)], axis=1)
+        return codes, np.sqrt(np.square(residual.astype(np.float64) - decoded).sum(1)).astype(np.float32) * np.float32(1.0001), float((decoded * decoded).sum(1).max(initial=0))
+
+    def __call__(self, queries: np.ndarray, listed: np.ndarray, own: np.ndarray, k: int, cell: int, prepared: tuple[np.ndarray, np.ndarray, float]) -> np.ndarray:
+        """Squared distances, infinite for what is ruled out and for a query's own vector."""
+        codes, off, longest = prepared
+        width = self.books.shape[2]
+        rest = queries - self.centroids[cell]
         rough = np.zeros((len(queries), len(listed)), np.float32)
         for s, book in enumerate(self.books):
             table = distances(np.ascontiguousarray(rest[:, s * width : (s + 1) * width]), book)
             rough += table[:, codes[:, s]]
-        rough[own] = np.inf
-        depth = self.depth
-        if len(listed) <= depth:
-            return distances(queries, listed), None
-        chosen = np.sort(np.argpartition(rough, depth - 1, axis=1)[:, :depth], axis=1)
-        near = listed[chosen]
-        return np.maximum(((near - queries[:, None, :]) ** 2).sum(2), 0), chosen
+        # sums of single precision: their error is far below this share of the terms
+        error = (1e-5 * ((rest * rest).sum(1) + longest))[:, None]
+        most = np.sqrt(rough + error) + off
+        most[own] = np.inf
+        cut = np.partition(most, k - 1, axis=1)[:, k - 1 : k] if len(listed) > k else np.inf
+        open_ = (np.sqrt(np.maximum(rough - error, 0)) - off <= cut + 1e-5 * np.abs(cut)) & ~own
+        columns = np.flatnonzero(open_.any(0))
+        d = np.where(open_[:, columns], distances(queries, listed[columns]), np.inf)
+        if len(columns) > k:
+            scale = (queries * queries).sum(1) + (listed * listed).sum(1).max()
+            d[d > np.partition(d, k - 1, axis=1)[:, k - 1 : k] + (1e-5 * scale + 10.0**-DIGITS)[:, None]] = np.inf
+        out = np.full(rough.shape, np.inf)
+        row, at = np.nonzero(np.isfinite(d))
+        for i in range(0, len(row), 1 << 16):
+            r, c = row[i : i + (1 << 16)], columns[at[i : i + (1 << 16)]]
+            out[r, c] = np.square(listed[c].astype(np.float64) - queries[r]).sum(1)
+        return out
 
 
 def neighbours(vecs: DataFrame, centroids: np.ndarray, probes: int, k: int, dim: int, scan) -> DataFrame:
@@ -258,19 +280,17 @@ def neighbours(vecs: DataFrame, centroids: np.ndarray, probes: int, k: int, dim:
             left = left.sort_by("id")
             ids, x = left["id"].to_numpy(), matrix(left["v"], dim)
             asked, y = right["id"].to_numpy(), matrix(right["v"], dim)
+            cell = key[0].as_py()
+            prepared = scan.prepare(x, cell) if isinstance(scan, QuantisedScan) else None
             step = max(1, (1 << 21) // max(len(x), 512))
             for i in range(0, len(y), step):
                 own = asked[i : i + step, None] == ids[None, :]
                 if isinstance(scan, QuantisedScan):
-                    d, chosen = scan(y[i : i + step], x, own, k, key[0].as_py())
+                    d = scan(y[i : i + step], x, own, k, cell, prepared)
                 else:
-                    d, chosen = scan(y[i : i + step], x, own, k)
-                if chosen is None:
+                    d = scan(y[i : i + step], x, own, k)
                     d[own] = np.inf
-                    out.append(_emit(asked[i : i + step], np.round(d.astype(np.float64), DIGITS), ids[None, :], k))
-                else:
-                    d[np.take_along_axis(own, chosen, 1)] = np.inf
-                    out.append(_emit(asked[i : i + step], np.round(d.astype(np.float64), DIGITS), ids[chosen], k))
+                out.append(_emit(asked[i : i + step], np.round(d.astype(np.float64), DIGITS), ids[None, :], k))
         return pa.Table.from_batches(out)
 
     keys = ("cell", "list_part", "query_part")
@@ -278,7 +298,7 @@ def neighbours(vecs: DataFrame, centroids: np.ndarray, probes: int, k: int, dim:
     return _top(found, k)
 
 
-def approximate_neighbours(df: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", dim: int = 64, spaces: int = 8, depth: int = 32, target: float = 0.95) -> DataFrame:
+def approximate_neighbours(df: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", dim: int = 64, spaces: int = 8, target: float = 0.95) -> DataFrame:
     """``id_col``, ``rank`` (from 1), ``neighbour_id``, ``distance``: about the k nearest others of every vector.
 
     Distances are Euclidean, exact and rounded; ties go to the lower id. With fewer than k others
@@ -299,6 +319,6 @@ def approximate_neighbours(df: DataFrame, k: int = 10, id_col: str = "vec_id", v
     size, width = min(256, n), dim // spaces
     start = residual(sample(vecs, size, dim)[1])
     books = lloyd(vecs, np.stack([start[:, s * width : (s + 1) * width] for s in range(spaces)]), 4, dim, residual)
-    found = persist(neighbours(vecs, centroids, probes, k, dim, QuantisedScan(centroids, books, depth)), "neighbours")
+    found = persist(neighbours(vecs, centroids, probes, k, dim, QuantisedScan(centroids, books)), "neighbours")
     discard(vecs)
     return found.select(F.col("query").alias(id_col), F.posexplode("near").alias("p", "n")).select(id_col, (F.col("p") + 1).alias("rank"), F.col("n.id").alias("neighbour_id"), F.round(F.sqrt("n.d"), DIGITS).alias("distance"))

@@ -239,6 +239,22 @@ def test_nearest_vectors_recall(spark):
         assert r.distance == pytest.approx(np.linalg.norm(np.array(x[r.vec_id]) - x[r.neighbour_id]), abs=1e-3)
 
 
+@pytest.mark.parametrize("size, spread, copies", [(100, 0.3, 1), (100, 0.05, 1), (1000, 0.3, 1), (100, 0.05, 40)])
+def test_nearest_vectors_in_clusters(spark, size, spread, copies):
+    rng = np.random.default_rng(3)
+    x = (rng.normal(0, 1, (4000 // size, 64)).repeat(size, 0) + rng.normal(0, spread, (4000, 64))).astype(np.float32)
+    x[: len(x) // 2] = x[: len(x) // 2 : copies].repeat(copies, 0)
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>")
+    got = ivf.approximate_neighbours(df).toPandas()
+    assert len(got) == 10 * len(x)
+    y = x.astype(np.float64)
+    kth = np.array([np.partition(np.delete(np.sqrt(np.square(y - y[i]).sum(1)), i), 9)[9] for i in range(0, len(x), 10)])
+    far = got[got.vec_id % 10 == 0].sort_values(["vec_id", "rank"]).distance.to_numpy().reshape(-1, 10)
+    assert (far <= kth[:, None] + 1e-5).mean() >= 0.9
+    exact = np.sqrt(np.square(y[got.vec_id] - y[got.neighbour_id]).sum(1))
+    assert np.abs(got.distance - exact).max() < 1e-3
+
+
 def test_crowded_cells_are_split(spark, monkeypatch):
     monkeypatch.setattr(ivf, "MAX_LIST", 30)
     monkeypatch.setattr(ivf, "MAX_QUERIES", 50)
