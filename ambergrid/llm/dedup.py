@@ -3,11 +3,12 @@
 One hash per shingle fills one of SLOTS bins with its minimum; empty bins copy the bin that a
 universal hash of (bin, attempt) picks, the same for every document (optimal densification), so
 that two documents agree in a bin with a probability of their Jaccard similarity. BANDS groups of
-ROWS bins are hashed to buckets. In a bucket every member is paired with the smallest id only: n
+ROWS bins are hashed to buckets. In a bucket every member is paired with the smallest id first: n
 members give n - 1 pairs. Pairs whose similarity reaches THRESHOLD are edges: the share of bins in
 which their signatures agree or, for two texts of at most SMALL shingles, where that share says
-little, the exact Jaccard similarity of the shingles. Members that don't match their star's centre
-form further stars among themselves. Groups are the connected components.
+little, the exact Jaccard similarity of the shingles. Where a bucket's members don't all match their
+centre, each is compared with all others that no match has reached yet, so a bucket joins whom all
+its pairs would join. Groups are the connected components.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from .store import discard, persist
 SHINGLE = 3
 SLOTS, BANDS, ROWS = 128, 42, 3
 THRESHOLD, SMALL = 0.5, 128
+#: Members of a bucket, about, that a task compares with those of one other part.
+PART = 2_048
 EMPTY = np.uint32(0xFFFFFFFF)
 _COEFFICIENTS = mix(np.arange(1, 64, dtype=np.uint64)) | np.uint64(1)
 
@@ -141,16 +144,35 @@ def _matching(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").withColumn("same", same("sig_a", "sig_b")).drop("sig_a", "sig_b")
 
 
-def _stars(group: pd.DataFrame) -> pd.DataFrame:
-    """Edges among a bucket's members that didn't match its centre: greedy stars by ascending id."""
+def _linked(group: pd.DataFrame) -> pd.DataFrame:
+    """Edges that join a bucket's members as all their pairs would: each is compared with all not reached yet."""
     group = group.sort_values("id").drop_duplicates("id")
     ids, packed = group["id"].to_numpy(), group["sig"].tolist()
-    left, out = np.arange(len(ids)), []
-    while len(left) > 1:
-        centre, left = left[0], left[1:]
-        hit = np.concatenate([alike([packed[centre]] * len(part), [packed[i] for i in part]) for part in np.split(left, range(8192, len(left), 8192))])
-        out += [(ids[centre], ids[x]) for x in left[hit]]
-        left = left[~hit]
+    sig = _signature_rows(packed)
+    sets = [np.frombuffer(x, np.uint32, offset=SLOTS * 4) for x in packed]
+    size = np.array([len(x) for x in sets])
+    values, number = np.unique(np.concatenate(sets), return_inverse=True)
+    start = np.cumsum(size) - size
+    mark = np.zeros(len(values), bool)
+    left, rest, frontier, out = np.arange(1, len(ids)), sig[1:], [0], []
+    while len(left):
+        if not frontier:
+            frontier, left, rest = [int(left[0])], left[1:], rest[1:]
+            continue
+        at = frontier.pop()
+        hit = (rest == sig[at]).mean(1) >= THRESHOLD
+        short = np.flatnonzero(size[left] > 0) if size[at] else np.zeros(0, np.int64)
+        if len(short):
+            mine, n = number[start[at] : start[at] + size[at]], size[left[short]]
+            first = np.cumsum(n) - n
+            mark[mine] = True
+            common = np.add.reduceat(mark[number[np.repeat(start[left[short]] - first, n) + np.arange(n.sum())]].astype(np.int64), first)
+            mark[mine] = False
+            hit[short] = common >= THRESHOLD * (size[at] + n - common)
+        if hit.any():
+            frontier += left[hit].tolist()
+            out += [(min(ids[at], x), max(ids[at], x)) for x in ids[left[hit]]]
+            left, rest = left[~hit], rest[~hit]
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
@@ -161,10 +183,15 @@ def edges(reps: DataFrame) -> DataFrame:
     members = buckets.join(centres, "bucket").where("id > a")
     pairs = persist(members.groupBy("a", F.col("id").alias("b")).agg(F.collect_list("bucket").alias("buckets")), "pairs")
     judged = persist(_matching(pairs, reps), "judged")
-    rest = judged.where("not same").select(F.explode("buckets").alias("bucket"), F.col("b").alias("id"))
-    # only buckets with two or more members left over can hold further edges
-    crowded = rest.groupBy("bucket").count().where("count > 1").select("bucket")
-    more = rest.join(crowded, "bucket").join(reps.select("id", "sig"), "id").groupBy("bucket").applyInPandas(_stars, "a bigint, b bigint")
+    # buckets of three or more whose centre doesn't match them all may hold further edges; large ones are cut into
+    # parts, of which every two meet in a task
+    rest = judged.where("not same").select(F.explode("buckets").alias("bucket")).distinct()
+    crowded = buckets.join(rest, "bucket", "left_semi").groupBy("bucket").count().where("count > 2").select("bucket", F.ceil(F.col("count") / PART).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    several = F.transform(F.expr("filter(sequence(0, parts - 1), x -> x != part)"), lambda x: F.struct(F.least("part", x).alias("i"), F.greatest("part", x).alias("j")))
+    meets = F.when(F.col("parts") > 1, several).otherwise(F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))))
+    spread = buckets.join(crowded, "bucket").withColumn("part", part).select("bucket", "id", F.explode(meets).alias("m")).select("bucket", "id", "m.i", "m.j")
+    more = spread.join(reps.select("id", "sig"), "id").groupBy("bucket", "i", "j").applyInPandas(_linked, "a bigint, b bigint")
     found = persist(judged.where("same").select("a", "b").unionByName(more).distinct(), "edges")
     for t in (buckets, pairs, judged):
         discard(t)

@@ -134,6 +134,25 @@ def test_thousands_of_copies(spark):
     assert set(got.group_id) == {0} and len(got) == 3000
 
 
+@pytest.mark.parametrize("part", [2048, 150])
+def test_shared_passages_join_whom_all_pairs_join(spark, monkeypatch, part):
+    monkeypatch.setattr(dedup, "PART", part)
+    passage, rng = prose(7, 302), random.Random(11)
+    rows = [(i, passage + " " + prose(10_000 + i, rng.randint(50, 400))) for i in range(400)]
+    got = dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["group_id"] for r in got} == brute_groups([i for i, _ in rows], [t for _, t in rows])
+
+
+def test_a_matched_member_stands_in_for_its_centre():
+    words = [f"m{i}" for i in range(40)]
+    texts = [" ".join(words[i : i + 20]) for i in (8, 0, 14, 3)]
+    table = pd.DataFrame({"id": range(4), "sig": dedup.sketches(kernel.lowered_words(pa.array(texts)))})
+    root = {i: i for i in range(4)}
+    for a, b in dedup._linked(table).values.tolist():
+        root = {i: min(root[a], root[b]) if r in (root[a], root[b]) else r for i, r in root.items()}
+    assert root == brute_groups(list(range(4)), texts)
+
+
 def check_windows(rows, sizes, window):
     """Every word lies in one window, windows are filled in order, and only a region's last one isn't full."""
     spans = collections.defaultdict(list)
