@@ -46,11 +46,8 @@ def shingle_set(text):
     return {tuple(words[i : i + dedup.SHINGLE]) for i in range(max(1, len(words) - dedup.SHINGLE + 1))} if words else set()
 
 
-def brute_groups(ids, texts):
-    """Components of all pairs that are alike: by their sets if both are small, else by signatures."""
-    sig = dedup.signatures(kernel.lowered_words(pa.array(texts)))
-    sets = [shingle_set(t) for t in texts]
-    small = [0 < len(s) <= dedup.SMALL for s in sets]
+def grouped(ids, match):
+    """Components of all pairs of positions that match; the root is the smallest id."""
     root = {i: i for i in ids}
 
     def find(x):
@@ -59,18 +56,47 @@ def brute_groups(ids, texts):
         return x
 
     for i in range(len(ids)):
-        agree = (sig == sig[i]).mean(1) >= dedup.THRESHOLD
         for j in range(i + 1, len(ids)):
-            if small[i] and small[j]:
-                match = len(sets[i] & sets[j]) >= dedup.THRESHOLD * len(sets[i] | sets[j])
-            else:
-                match = agree[j] and bool(sets[i]) and bool(sets[j])
-            if match:
+            if match(i, j):
                 a, b = sorted((find(ids[i]), find(ids[j])))
                 root[b] = a
     return {i: find(i) for i in ids}
 
 
+def brute_groups(ids, texts):
+    """All pairs by the one rule, with Python sets: Jaccard similarity up to the hash that both sketches cover."""
+    sets = []
+    for t in texts:
+        h, _ = dedup.shingles(kernel.lowered_words(pa.array([t], pa.string())))
+        sets.append({x >> 32 for x in h.tolist()})
+    upto = [sorted(s)[dedup.LOWEST - 1] if len(s) >= dedup.LOWEST else 1 << 32 for s in sets]
+
+    def match(i, j):
+        if not sets[i] or not sets[j]:
+            return False
+        a, b = ({x for x in s if x <= min(upto[i], upto[j])} for s in (sets[i], sets[j]))
+        return len(a & b) >= dedup.THRESHOLD * len(a | b)
+
+    return grouped(ids, match)
+
+
+def test_groups_agree_with_exact_jaccard(spark, sf_dir, docs):
+    """Without sketches: pairs well above the threshold share a group, and every grouped document has a partner near it."""
+    rows = docs.collect()
+    sets = {r["doc_id"]: shingle_set(r["text"]) for r in rows}
+    group = {r["doc_id"]: r["group_id"] for r in dedup.near_duplicates(docs).collect()}
+    best = collections.Counter()
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and a and b and a & b:
+                similarity = len(a & b) / len(a | b)
+                assert similarity < 0.65 or group[i] == group[j]
+                if group[i] == group[j]:
+                    best[i], best[j] = max(best[i], similarity), max(best[j], similarity)
+    size = collections.Counter(group.values())
+    assert all(best[i] > 0.35 for i, g in group.items() if size[g] > 1)
+
+
 def test_duplicates_equal_brute_force(spark, sf_dir, docs):
     rows = docs.orderBy("doc_id").collect()
     want = brute_groups([r["doc_id"] for r in rows], [r["text"] for r in rows])
@@ -146,13 +172,46 @@ def test_shared_passages_join_whom_all_pairs_join(spark, monkeypatch, part):
 def test_a_matched_member_stands_in_for_its_centre():
     words = [f"m{i}" for i in range(40)]
     texts = [" ".join(words[i : i + 20]) for i in (8, 0, 14, 3)]
-    table = pd.DataFrame({"id": range(4), "sig": dedup.sketches(kernel.lowered_words(pa.array(texts)))})
+    table = pd.DataFrame({"key": range(4), "low": dedup.pack(dedup.sketches(kernel.lowered_words(pa.array(texts))))})
     root = {i: i for i in range(4)}
     for a, b in dedup._linked(table).values.tolist():
         root = {i: min(root[a], root[b]) if r in (root[a], root[b]) else r for i, r in root.items()}
     assert root == brute_groups(list(range(4)), texts)
 
 
+@pytest.mark.parametrize("sizes", [(20, 30), (127, 128), (128, 129), (100, 400), (600, 700), (5, 2000)])
+def test_one_rule_at_every_length(sizes):
+    """Row by row, in a bucket and with sets, similarities around the threshold get the same answer."""
+    pool = [f"u{i}" for i in range(4000)]
+    texts = []
+    for shift in range(0, sizes[0], max(1, sizes[0] // 12)):
+        texts += [" ".join(pool[: sizes[0]]), " ".join(pool[shift : shift + sizes[1]])]
+    low = dedup.sketches(kernel.lowered_words(pa.array(texts)))
+    got = dedup.alike(low[::2], low[1::2])
+    assert dedup.unpack(dedup.pack(low)).tolist() == low.tolist()
+    for i, same in enumerate(got):
+        pair = texts[2 * i : 2 * i + 2]
+        want = len(set(brute_groups([0, 1], pair).values())) == 1
+        in_bucket = len(dedup._linked(pd.DataFrame({"key": [0, 1], "low": dedup.pack(low[2 * i : 2 * i + 2])}))) == 1
+        assert same == want == in_bucket
+
+
+def test_ids_with_several_texts_and_ids_that_are_texts(spark):
+    a, b = prose(51, 200), prose(52, 200)
+    rows = [("n1", a), ("n1", b), ("n2", a + " tail"), ("n3", b + " tail"), ("n4", prose(53)), ("n5", None), (None, a)]
+    got = dedup.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert {r["doc_id"]: r["group_id"] for r in got} == {"n1": "n1", "n2": "n1", "n3": "n1", "n4": "n4", "n5": "n5"} and len(got) == 5
+    several = spark.createDataFrame([(1, prose(60 + i, 80)) for i in range(300)] + [(2, prose(70, 80)), (2, prose(900, 80)), (3, prose(900, 80) + " x")], "doc_id long, text string")
+    assert {r["doc_id"]: r["group_id"] for r in dedup.near_duplicates(several).collect()} == {1: 1, 2: 1, 3: 1}
+
+
+def test_keep_one_with_clashing_names_and_maps(spark):
+    rows = [(1, "a b c d", 1, 2, 3, {"k": "v"}), (1, "a b c d", 1, 2, 3, {"k": "u"}), (2, "a b c d", 0, 0, 0, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, dropped int, Twice int, row int, m map<string,string>")
+    got = dedup.keep_one(df).collect()
+    assert [(r["doc_id"], r["m"]) for r in got] == [(1, {"k": "u"})]
+
+
 def check_windows(rows, sizes, window):
     """Every word lies in one window, windows are filled in order, and only a region's last one isn't full."""
     spans = collections.defaultdict(list)
