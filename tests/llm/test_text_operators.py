@@ -97,11 +97,98 @@ def test_toxicity_finds_held_out_documents(spark):
     assert toxic.is_toxic.mean() > 0.9 and clean.is_toxic.mean() < 0.02
 
 
-def test_risk_goes_back_when_negative():
-    """With unlabelled text that is all positive the corrected risk must not diverge."""
-    x = [np.array([1, 2, 3], np.int32)] * 40
-    model = toxicity.train(x, x, 0.3)
-    assert np.isfinite(model.weights).all() and np.isfinite(model.bias)
+def corrected_risk(z_p, z_u, prior):
+    return prior * np.mean(np.log1p(np.exp(-z_p))), np.mean(np.log1p(np.exp(z_u))) - prior * np.mean(np.log1p(np.exp(z_p)))
+
+
+def test_slopes_are_those_of_the_corrected_risk():
+    rng = np.random.default_rng(2)
+    z_p, z_u = rng.normal(0, 1, 5), rng.normal(0, 1, 7)
+    for shift, sign_p, sign_u in ((0.0, 1, 1), (-6.0, 0, -1)):  # far below zero the unlabelled part is negative
+        u = z_u + shift
+        first, second = corrected_risk(z_p, u, 0.6)
+        assert (second < 0) == (sign_u < 0)
+        goal = lambda p, x: sign_p * corrected_risk(p, x, 0.6)[0] + sign_u * corrected_risk(p, x, 0.6)[1]  # noqa: E731, B023
+        slope_p, slope_u = toxicity.slopes(z_p, u, 0.6)
+        for k in range(5):
+            assert slope_p[k] == pytest.approx((goal(z_p + 1e-5 * np.eye(5)[k], u) - goal(z_p - 1e-5 * np.eye(5)[k], u)) / 2e-5, abs=1e-6)
+        for k in range(7):
+            assert slope_u[k] == pytest.approx((goal(z_p, u + 1e-5 * np.eye(7)[k]) - goal(z_p, u - 1e-5 * np.eye(7)[k])) / 2e-5, abs=1e-6)
+
+
+def test_risk_goes_back_when_negative(monkeypatch):
+    """Unlabelled documents like the positives' opposites drive the risk below zero; only the correction holds weights back."""
+    x_p, x_u = np.ones((40, 1)), -np.ones((40, 1))
+    held = abs(toxicity.descend(x_p, x_u, 0.5, decay=0)[0][0])
+    plain = lambda p, u, prior: (np.full(len(p), -prior / len(p)), 1 / (1 + np.exp(-u)) / len(u))
+    monkeypatch.setattr(toxicity, "slopes", plain)
+    assert held < 0.8 * abs(toxicity.descend(x_p, x_u, 0.5, decay=0)[0][0])
+
+
+def plain_toxicity(rows, positive, prior):
+    """The whole estimator with dictionaries and double precision, for tables of one chunk."""
+    shares = []
+    for text in rows:
+        w = kernel.lowered_words(pa.array([text]), toxicity.PREFIXES)
+        found = [int(h) >> (64 - toxicity.BITS) for hs in (w.hash, *w.prefix.values()) for h in hs.tolist()]
+        shares.append({f: min(found.count(f) / len(found), toxicity.CLIP) for f in set(found)} if found else None)
+    docs = [s for s in shares if s is not None]
+    toxic = [shares[i] for i in positive if shares[i] is not None]
+    names = sorted({f for s in docs for f in s})
+    table = lambda sets: np.array([[s.get(f, 0.0) for f in names] for s in sets])
+    u, p = table(docs), table(toxic)
+    t = np.abs(p.mean(0) - u.mean(0)) / np.sqrt(u.var(0) / len(u) + p.var(0) / len(p) + (1e-3 / len(p)) ** 2)
+    best = [k for k in np.lexsort((names, -t)) if t[k] >= toxicity.LEAST_T][: toxicity.KEEP]
+    scale = np.sqrt(u[:, best].var(0) + (0.1 * toxicity.CLIP) ** 2 / len(u))
+    x_p, x_u = p[:, best] / scale, u[:, best] / scale
+    w, bias, m, v = np.zeros(len(best)), np.log(prior / (1 - prior)), np.zeros(len(best) + 1), np.zeros(len(best) + 1)
+    for step in range(1, 301):
+        z_p, z_u = x_p @ w + bias, x_u @ w + bias
+        s_p, s_u = 1 / (1 + np.exp(-z_p)), 1 / (1 + np.exp(-z_u))
+        if np.mean(np.log1p(np.exp(z_u))) - prior * np.mean(np.log1p(np.exp(z_p))) < 0:
+            g_p, g_u = prior * s_p / len(p), -s_u / len(u)
+        else:
+            g_p, g_u = np.full(len(p), -prior / len(p)), s_u / len(u)
+        g = np.append(g_p @ x_p + g_u @ x_u + 3e-3 * w, g_p.sum() + g_u.sum())
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        move = 0.02 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        w, bias = w - move[:-1], bias - move[-1]
+    weight = dict(zip([names[k] for k in best], w / scale, strict=True))
+    out = []
+    for text in rows:
+        h = kernel.lowered_words(pa.array([text]), toxicity.PREFIXES)
+        found = [int(x) >> (64 - toxicity.BITS) for hs in (h.hash, *h.prefix.values()) for x in hs.tolist()]
+        out.append(1 / (1 + np.exp(-bias - np.mean([weight.get(f, 0.0) for f in found]))) if found else 0.0)
+    return out
+
+
+def test_toxicity_query_equals_the_plain_estimator(spark, sf_dir):
+    rows = docs(spark, sf_dir).orderBy("doc_id").collect()
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").toPandas()
+    known = labels.groupby("doc_id").toxic.max()
+    hit = set(known[known == 1].index)
+    want = plain_toxicity([r["text"] for r in rows], [i for i, r in enumerate(rows) if r["doc_id"] in hit], len(hit) / len(known))
+    got = {r["doc_id"]: r for r in queries.op2_toxicity(spark, sf_dir).collect()}
+    assert len(got) == len(rows)
+    assert max(abs(got[r["doc_id"]]["toxicity"] - p) for r, p in zip(rows, want, strict=True)) < 0.02
+
+
+def test_toxicity_averages_over_chunks(spark, monkeypatch):
+    """Cut into many chunks, the averaged model still finds what the single one finds."""
+    sf = "/root/testdata/sf0.1"
+    d, labels = docs(spark, sf).limit(4000).repartition(3, "doc_id"), spark.read.parquet(f"{sf}/labels.parquet")
+    one = toxicity.score(d, toxicity.fit(d.coalesce(1), labels)).toPandas().set_index("doc_id").is_toxic
+    monkeypatch.setattr(toxicity, "CHUNK", 700)
+    many = toxicity.score(d, toxicity.fit(d, labels)).toPandas().set_index("doc_id").is_toxic
+    assert one.sum() > 50 and (one == many.reindex(one.index)).mean() > 0.99
+
+
+def test_a_toxic_id_that_repeats_is_one_positive(spark):
+    rows = [(1, "vile horrid words here")] * 500 + [(i, f"plain nice text number w{i} of many") for i in range(2, 300)] + [(i, f"vile horrid w{i}") for i in range(300, 330)]
+    labels = [(1, 1)] + [(i, int(i >= 300)) for i in range(2, 330)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = toxicity.score(d, toxicity.fit(d, spark.createDataFrame(labels, "doc_id long, toxic int"))).collect()
+    assert len(got) == len(rows)
 
 
 def test_toxicity_awkward(awkward, nothing):
