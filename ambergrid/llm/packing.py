@@ -1,10 +1,14 @@
 """Related documents packed into windows (after Shi et al., 2024).
 
 A document's vector is a random projection of its words to DIM numbers, so that shared
-vocabulary and shared passages bring documents together. Every document gets its K nearest
-neighbours from an inverted file; edges count both ways. A path starts at an unvisited document of
-lowest degree and walks to the nearest unvisited neighbour until there is none. Paths are walked within regions, groups of adjacent cells, each in
-one task; the windows of a region are filled along its paths, one after the other.
+vocabulary and shared passages bring documents together. Documents of equal vectors are one node,
+which gets its K nearest neighbours from an inverted file; edges count both ways. A path starts at
+an unvisited node of lowest degree and walks to the nearest unvisited neighbour until there is none.
+
+Paths are walked within regions of at most REGION nodes, each in one task: cells of the
+inverted file are merged along the most edges between them, so that few edges join two regions;
+``edges_between_regions`` tells their share. Walks see nodes only. Documents, however many share a node, are
+laid out by aggregates and running sums over ranges of them, and fill their region's windows along its paths.
 """
 
 from __future__ import annotations
@@ -12,24 +16,24 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import ivf
-from .kernel import lowered_words, slices
+from .kernel import lowered_words, mix, slices
 from .store import discard, persist
 
 WINDOW = 2048
 DIM, K = 16, 8
-#: Documents per cell and per region, on average.
-CELL, REGION = 1_000, 20_000
+#: Nodes per cell on average, and per region at most (they bound the memory of a task).
+CELL, REGION = 1_000, 65_536
 
 
-def embed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``n`` (words) and ``v``: the projection, scaled to length one; zero for texts without words."""
+def embed(docs: DataFrame, id_col: str, text_col: str, size_col: str | None = None) -> DataFrame:
+    """``id``, ``n`` (words, or ``size_col``), ``node`` and ``v``: the projection, scaled to length one; zero for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        odd = mix(np.arange(1, DIM + 1, dtype=np.uint64)) | np.uint64(1)
         for b in batches:
             for part in slices(b, "text"):
                 w = lowered_words(part.column("text"))
@@ -39,12 +43,16 @@ def embed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 for d in range(DIM):
                     sign = ((w.hash >> np.uint64(d + 5)) & np.uint64(1)).astype(np.float64) * 2 - 1
                     v[:, d] = np.bincount(doc, sign, len(n))
-                v /= np.maximum(np.sqrt((v * v).sum(1)), 1e-9)[:, None]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n), ivf._binary(v)], names=["id", "n", "v"])
+                v = v / np.maximum(np.sqrt((v * v).sum(1)), 1e-9)[:, None] + np.float32(0)
+                node = mix((v.view(np.uint32).astype(np.uint64) * odd).sum(1, dtype=np.uint64)).view(np.int64)
+                size = pa.array(n) if size_col is None else part.column("size")
+                yield pa.RecordBatch.from_arrays([part.column("id"), size, pa.array(node), ivf._binary(v)], names=["id", "n", "node", "v"])
 
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    size = [] if size_col is None else [F.coalesce(F.col(size_col).cast("bigint"), F.lit(0)).alias("size")]
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *size)
     # an id that repeats is one document: the longest of its texts
-    return rows.mapInArrow(run, "id bigint, n bigint, v binary").groupBy("id").agg(F.max(F.struct("n", "v")).alias("x")).select("id", "x.n", "x.v").where("n > 0")
+    each = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n bigint, node bigint, v binary")
+    return each.groupBy("id").agg(F.max(F.struct("n", "node", "v")).alias("x")).select("id", "x.n", "x.node", "x.v").where("n > 0")
 
 
 def graph(vecs: DataFrame, centroids: np.ndarray, probes: int) -> DataFrame:
@@ -54,99 +62,169 @@ def graph(vecs: DataFrame, centroids: np.ndarray, probes: int) -> DataFrame:
     return near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).distinct()
 
 
-def walk(ids: np.ndarray, degree: np.ndarray, edges: dict[int, list[tuple[float, int]]], vectors: np.ndarray | None = None) -> list[int]:
-    """All ids in the order of greedy paths. edges: (distance, id) of each id's neighbours, any of them absent from ids.
+def walk(degree: np.ndarray, begin: np.ndarray, to: np.ndarray, cell: np.ndarray, centroids: np.ndarray, vectors: np.ndarray) -> list[int]:
+    """All nodes 0..n-1, which are in the order of their ids, in the order of greedy paths.
 
-    Of several unvisited ids of lowest degree, a path starts at the one whose vector is nearest to
-    the end of the path before; without vectors, and for the first path, at the lowest id.
+    to: the neighbours of node i, nearest first, at ``begin[i]:begin[i+1]``; -1 for one of another
+    region. The first path starts at the lowest node of lowest degree. Of several unvisited nodes of lowest
+    degree a later one starts in the cell whose centroid is nearest to that of the last path's end,
+    at the node whose vector is nearest to that end; ties go to the lower number.
     """
-    row = {int(x): i for i, x in enumerate(ids)}
-    visited = np.zeros(len(ids), bool)
-    out: list[int] = []
+    visited = np.zeros(len(degree), bool)
+    seen = memoryview(visited)
+    order = np.stack([np.square(centroids - c).sum(1).argsort(kind="stable") for c in centroids]) if len(centroids) else centroids
+    begin, to, out = begin.tolist(), to.tolist(), []
     for level in np.unique(degree):
-        pool = np.flatnonzero(degree == level)
-        pool = pool[np.argsort(ids[pool], kind="stable")]
-        while len(pool := pool[~visited[pool]]):
-            start = pool[0]
-            if vectors is not None and out:
-                start = pool[np.square(vectors[pool] - vectors[row[out[-1]]]).sum(1).argmin()]
-            at = int(ids[start])
-            while at is not None:
-                out.append(at)
-                visited[row[at]] = True
-                at = next((i for _, i in edges.get(at, ()) if i in row and not visited[row[i]]), None)
+        nodes = np.flatnonzero((degree == level) & ~visited)
+        nodes = nodes[np.argsort(cell[nodes], kind="stable")]
+        where, first = np.unique(cell[nodes], return_index=True)
+        pools = dict(zip(where.tolist(), np.split(nodes, first[1:]), strict=True)) if len(nodes) else {}
+        while pools:
+            at = next(c for c in order[cell[out[-1]]].tolist() if c in pools) if out else int(cell[min(p[0] for p in pools.values())])
+            pool = pools[at][~visited[pools[at]]]
+            if not len(pool):
+                del pools[at]
+                continue
+            pools[at] = pool
+            node = int(pool[np.square(vectors[pool] - vectors[out[-1]]).sum(1).argmin()] if out else pool[0])
+            while node >= 0:
+                out.append(node)
+                seen[node] = True
+                node = next((x for x in to[begin[node] : begin[node + 1]] if x >= 0 and not seen[x]), -1)
     return out
 
 
-def fill(ids: np.ndarray, sizes: np.ndarray, window: int) -> pd.DataFrame:
-    """Rows (window_no, position, id, begin, stop): documents laid end to end and cut every ``window`` tokens."""
-    begin = np.cumsum(sizes) - sizes
-    first, last = begin // window, (begin + sizes - 1) // window
-    pieces = last - first + 1
-    row = np.repeat(np.arange(len(ids)), pieces)
-    no = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    lo = np.maximum(no * window, begin[row]) - begin[row]
-    hi = np.minimum((no + 1) * window, begin[row] + sizes[row]) - begin[row]
-    position = np.arange(len(row)) - np.searchsorted(no, no)
-    return pd.DataFrame({"window_no": no, "position": position, "id": ids[row], "begin": lo, "stop": hi})
-
-
-def _regions(centroids: np.ndarray, regions: int) -> np.ndarray:
-    """The region of each cell: cells sorted along their first principal axis, in equal runs."""
-    centred = centroids - centroids.mean(0)
-    axis = np.linalg.svd(centred, full_matrices=False)[2][0] if len(centroids) > 1 else np.ones(centroids.shape[1])
-    order = np.argsort(centred @ axis, kind="stable")
-    out = np.empty(len(centroids), np.int64)
-    out[order] = np.arange(len(centroids)) * regions // len(centroids)
-    return out
+def merge_cells(sizes: np.ndarray, pairs: list[tuple[int, int, int]], limit: int) -> np.ndarray:
+    """A region for each cell: cells joined by the most edges first, while a region holds at most ``limit`` nodes.
+
+    pairs: (edges, cell, cell).
+    """
+    root, held = list(range(len(sizes))), sizes.astype(np.int64).tolist()
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for _, a, b in sorted(pairs, key=lambda p: (-p[0], p[1], p[2])):
+        a, b = sorted((find(a), find(b)))
+        if a != b and held[a] + held[b] <= limit:
+            root[b], held[a] = a, held[a] + held[b]
+    return np.unique([find(x) for x in range(len(sizes))], return_inverse=True)[1]
+
+
+def place(nodes: DataFrame, edges: DataFrame, centroids: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """Nodes with ``cell`` and ``region``; edges (region, a, b, d, inside) by the region of a.
+
+    A cell of more than REGION nodes is split by their hash.
+    """
+    spark = nodes.sparkSession
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for b in batches:
+            cell = ivf.nearest(ivf.matrix(b.column("v"), DIM), centroids)[:, 0].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell)], names=[*b.schema.names, "cell"])
+
+    celled = persist(nodes.select("id", "v", "total").mapInArrow(run, "id bigint, v binary, total bigint, cell bigint"), "cells")
+    end = lambda x: celled.select(F.col("id").alias(x), F.col("cell").alias(f"cell_{x}"))
+    joined = persist(edges.join(end("a"), "a").join(end("b"), "b"), "joined")
+    sizes = np.zeros(len(centroids), np.int64)
+    for r in celled.groupBy("cell").count().collect():  # a row per cell, as many as there are centroids
+        sizes[r["cell"]] = r["count"]
+    pairs = joined.where("cell_a < cell_b").groupBy("cell_a", "cell_b").count().collect()
+    region = merge_cells(sizes, [(r["count"], r["cell_a"], r["cell_b"]) for r in pairs], REGION)
+    parts = np.ones(int(region.max()) + 1, np.int64)
+    np.maximum.at(parts, region, -(-sizes // REGION))
+    first = np.cumsum(parts) - parts
+    table = spark.createDataFrame([(c, int(first[r]), int(parts[r])) for c, r in enumerate(region.tolist())], "cell bigint, first bigint, parts bigint")
+    of = lambda node: F.col("first") + F.pmod(F.xxhash64(node), F.col("parts"))
+    placed = persist(celled.join(F.broadcast(table), "cell").select("id", "v", "total", "cell", of("id").alias("region")), "placed")
+    named = lambda x: table.select(F.col("cell").alias(f"cell_{x}"), F.col("first").alias(f"first_{x}"), F.col("parts").alias(f"parts_{x}"))
+    at = lambda x: F.col(f"first_{x}") + F.pmod(F.xxhash64(x), F.col(f"parts_{x}"))
+    within = joined.join(F.broadcast(named("a")), "cell_a").join(F.broadcast(named("b")), "cell_b")
+    out = persist(within.select(at("a").alias("region"), "a", "b", "d", (at("a") == at("b")).alias("inside")), "placed-edges")
+    for t in (celled, joined):
+        discard(t)
+    return placed, out
+
+
+def edges_between_regions(edges: DataFrame) -> float:
+    """The share of edges that no walk can use, as they join two regions."""
+    return edges.agg(F.avg((~F.col("inside")).cast("double"))).first()[0] or 0.0
+
+
+def ordered(placed: DataFrame, edges: DataFrame, centroids: np.ndarray) -> DataFrame:
+    """``node``, ``region`` and ``start``: how many tokens of the region's paths come before the node."""
+    shared = placed.sparkSession.sparkContext.broadcast(centroids)
 
+    def lay(key: tuple, nodes: pa.Table, near: pa.Table) -> pa.Table:
+        nodes = nodes.sort_by("id")
+        ids, x = nodes["id"].to_numpy(), ivf.matrix(nodes["v"], DIM)
+        a, b, d = (near[c].to_numpy() for c in ("a", "b", "d"))
+        order = np.lexsort((b, d, a))
+        a, b = np.searchsorted(ids, a[order]), b[order]
+        degree = np.bincount(a, minlength=len(ids))
+        to = np.minimum(np.searchsorted(ids, b), max(len(ids) - 1, 0))
+        to = np.where(ids[to] == b, to, -1) if len(ids) else to
+        used, cell = np.unique(nodes["cell"].to_numpy(), return_inverse=True)
+        path = np.array(walk(degree, np.concatenate([[0], np.cumsum(degree)]), to, cell, shared.value[used], x), np.int64)
+        total = nodes["total"].to_numpy()[path]
+        return pa.table({"node": ids[path], "region": np.full(len(path), key[0].as_py() if key else 0, np.int64), "start": np.cumsum(total) - total})
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, target: float = 0.95) -> DataFrame:
-    """``window_id``, ``position`` (from 0), ``id_col``, ``start_token``, ``end_token``: which words of which documents fill which window.
+    return placed.groupBy("region").cogroup(edges.groupBy("region")).applyInArrow(lay, "node bigint, region bigint, start bigint")
 
-    Tokens are words. Every word of every document lies in exactly one window; a document that
+
+def laid_out(embedded: DataFrame, order: DataFrame) -> DataFrame:
+    """``id``, ``n``, ``region`` and ``begin``: how many tokens of the region come before the document.
+
+    Documents of a node follow each other by id. Running sums are taken within ranges of (node, id), to
+    which the sums of earlier ranges are added: a node may hold any number of documents.
+    """
+    split = persist(embedded.select("id", "n", "node").repartitionByRange("node", "id").withColumn("p", F.spark_partition_id()), "ranges")
+    totals = split.groupBy("node", "p").agg(F.sum("n").alias("sum"))
+    before = totals.select("node", "p", (F.sum("sum").over(Window.partitionBy("node").orderBy("p")) - F.col("sum")).alias("before"))
+    inside = F.sum("n").over(Window.partitionBy("node", "p").orderBy("id")) - F.col("n")
+    rows = split.withColumn("inside", inside).join(before, ["node", "p"]).join(order, "node")
+    return rows.select("id", "n", "region", (F.col("start") + F.col("before") + F.col("inside")).alias("begin"))
+
+
+def fill(docs: DataFrame, window: int, id_col: str) -> DataFrame:
+    """Documents laid end to end, cut every ``window`` tokens."""
+    first, last = F.expr(f"begin div {window}"), F.expr(f"(begin + n - 1) div {window}")
+    pieces = docs.withColumn("no", F.explode(F.sequence(first, last)))
+    lo = F.greatest(F.col("no") * window, F.col("begin")) - F.col("begin")
+    hi = F.least((F.col("no") + 1) * window, F.col("begin") + F.col("n")) - F.col("begin")
+    rows = pieces.select((F.shiftleft("region", 40) + F.col("no")).alias("window_id"), "id", "begin", lo.alias("start_token"), hi.alias("end_token"))
+    position = F.row_number().over(Window.partitionBy("window_id").orderBy("begin")) - 1  # of at most ``window`` rows
+    return rows.select("window_id", position.alias("position"), F.col("id").alias(id_col), "start_token", "end_token")
+
+
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, target: float = 0.95, size_col: str | None = None) -> DataFrame:
+    """``window_id``, ``position`` (from 0), ``id_col``, ``start_token``, ``end_token``: which tokens of which documents fill which window.
+
+    Tokens are words, unless ``size_col`` gives each document's number of tokens (those of
+    ``bpe.count_tokens``, say). Every token of every document lies in exactly one window; a document that
     passes the end of a window goes on in the next one. Windows are full but for the last one of each
-    region. Documents without words (null, empty, punctuation only) and null ids fill nothing and are
-    left out; of rows that repeat an id the longest text counts. Equal vectors (copies, say) stand
-    next to each other, by id, and are one node of the graph. An empty table gives no rows; other
-    columns are ignored.
+    region. Documents without tokens (null, empty, punctuation only; null or no size) and null ids fill nothing and are
+    left out; of rows that repeat an id the longest text counts. Ids may be of any type that has an
+    order. Equal vectors (copies, say) stand next to each other, by id, and are one node of the graph.
+    An empty table gives no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
-    embedded = persist(embed(docs, id_col, text_col), "embedded")
-    n = embedded.count()
+    embedded = persist(embed(docs, id_col, text_col, size_col), "embedded")
+    kind = embedded.schema["id"].dataType.simpleString()
+    nodes = persist(embedded.groupBy("node").agg(F.min("v").alias("v"), F.sum("n").alias("total")).select(F.col("node").alias("id"), "v", "total"), "nodes")
+    n = nodes.count()
     if not n:
-        return spark.createDataFrame([], f"window_id bigint, position int, `{id_col}` bigint, start_token bigint, end_token bigint")
-    nodes = persist(embedded.groupBy("v").agg(F.min("id").alias("id")).select("id", "v"), "nodes")
-    n_nodes = nodes.count()
-    cells = max(1, round(n_nodes / CELL))
-    centroids = ivf.coarse(nodes, cells, DIM)
-    probes = ivf.probes_needed(nodes, centroids, K, DIM, target)
-    edges = persist(graph(nodes, centroids, probes), "graph")
-    region = _regions(centroids, max(1, min(cells, round(n / REGION))))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for b in batches:
-            where = region[ivf.nearest(ivf.matrix(b.column("v"), DIM), centroids)[:, 0]]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(where), b.column("v")], names=["id", "region", "v"])
-
-    placed = persist(nodes.mapInArrow(place, "id bigint, region bigint, v binary"), "placed")
-    linked = edges.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("d", F.col("b").alias("id")))).alias("near"))
-    # members of a node, with their sizes, in the order of their ids
-    members = embedded.join(placed.withColumnRenamed("id", "node"), "v").groupBy("node").agg(F.first("region").alias("region"), F.first("v").alias("v"), F.sort_array(F.collect_list(F.struct("id", "n"))).alias("members"))
-    table = members.join(linked, members["node"] == linked["a"], "left").select("region", "node", "v", "members", F.col("near.d").alias("d"), F.col("near.id").alias("to"))
-
-    def lay(key: tuple, t: pa.Table) -> pa.Table:
-        ids = t["node"].to_numpy()
-        near = {i: list(zip(d, to, strict=True)) for i, d, to in zip(ids.tolist(), t["d"].to_pylist(), t["to"].to_pylist(), strict=True) if to}
-        degree = np.array([len(near.get(i, ())) for i in ids.tolist()])
-        of = dict(zip(ids.tolist(), t["members"].to_pylist(), strict=True))
-        path = [m for i in walk(ids, degree, near, ivf.matrix(t["v"], DIM)) for m in of[i]]
-        rows = fill(np.array([m["id"] for m in path]), np.array([m["n"] for m in path]), window)
-        out = [pa.array((key[0].as_py() << 40) + rows["window_no"].to_numpy()), pa.array(rows["position"], pa.int32()), *(pa.array(rows[c].to_numpy()) for c in ("id", "begin", "stop"))]
-        return pa.Table.from_arrays(out, names=["window_id", "position", id_col, "start_token", "end_token"])
-
-    packed = table.groupBy("region").applyInArrow(lay, f"window_id bigint, position int, `{id_col}` bigint, start_token bigint, end_token bigint")
-    out = persist(packed, "packed")
-    for t in (embedded, nodes, edges, placed):
+        return docs.sparkSession.createDataFrame([], f"window_id bigint, position int, `{id_col}` {kind}, start_token bigint, end_token bigint")
+    vecs = nodes.select("id", "v")
+    centroids = ivf.coarse(vecs, max(1, round(n / CELL)), DIM)
+    edges = persist(graph(vecs, centroids, ivf.probes_needed(vecs, centroids, K, DIM, target)), "graph")
+    placed, linked = place(nodes, edges, centroids)
+    order = persist(ordered(placed, linked, centroids), "order")
+    for t in (nodes, edges, placed, linked):
+        discard(t)
+    out = persist(fill(laid_out(embedded, order), window, id_col), "packed")
+    for t in (embedded, order):
         discard(t)
     return out

@@ -237,9 +237,9 @@ def test_packing_covers_everything_once(spark, sf_dir, docs):
     check_windows(queries.op4_packing(spark, sf_dir).collect(), sizes_of(docs.collect()), packing.WINDOW)
 
 
-def test_packing_graph_recall_and_walk(spark):
+def test_packing_graph_recall(spark):
     d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
-    nodes = store.persist(packing.embed(d, "doc_id", "text").groupBy("v").agg({"id": "min"}).withColumnRenamed("min(id)", "id").select("id", "v"), "t")
+    nodes = store.persist(packing.embed(d, "doc_id", "text").groupBy("node").agg({"v": "min"}).toDF("id", "v"), "t")
     t = nodes.toArrow()
     ids, x = t["id"].to_numpy(), ivf.matrix(t["v"], packing.DIM)
     centroids = ivf.coarse(nodes, 9, packing.DIM)
@@ -251,11 +251,97 @@ def test_packing_graph_recall_and_walk(spark):
     assert np.mean([len(set(near[ids[i]]) & set(true[i])) / packing.K for i in range(1000)]) >= 0.9
 
 
-def test_walk_and_fill():
-    edges = {1: [(0.1, 2), (0.2, 3)], 2: [(0.1, 1), (0.3, 9)], 3: [(0.2, 1)], 4: []}
-    assert packing.walk(np.array([1, 2, 3, 4]), np.array([2, 2, 1, 0]), edges) == [4, 3, 1, 2]
-    rows = packing.fill(np.array([4, 3, 1]), np.array([5, 12, 3]), 8)
-    assert rows.values.tolist() == [[0, 0, 4, 0, 5], [0, 1, 3, 0, 3], [1, 0, 3, 3, 11], [2, 0, 3, 11, 12], [2, 1, 1, 0, 3]]
+def plain_packing(rows, window):
+    """The whole operator with dictionaries for a table of one cell and region. rows: (id, n, node, v)."""
+    vector = {r["node"]: np.frombuffer(r["v"], np.float32) for r in rows}
+    docs = collections.defaultdict(list)
+    for r in sorted(rows, key=lambda r: r["id"]):
+        docs[r["node"]].append((r["id"], r["n"]))
+    near = collections.defaultdict(set)
+    for a, x in vector.items():
+        d = sorted((round(float(np.square(x.astype(np.float64) - y).sum()), 6), b) for b, y in vector.items() if b != a)[: packing.K]
+        near[a] |= set(d)
+        for dist, b in d:
+            near[b].add((dist, a))
+    left, path = set(vector), []
+    while left:
+        low = min(len(near[x]) for x in left)
+        starts = sorted(x for x in left if len(near[x]) == low)
+        at = min(starts, key=lambda x: (float(np.square(vector[x] - vector[path[-1]]).sum()), x)) if path else starts[0]
+        while at is not None:
+            path.append(at)
+            left.discard(at)
+            at = next((b for _, b in sorted(near[at]) if b in left), None)
+    out, no, room, position = [], 0, window, 0
+    for i, n in (x for node in path for x in docs[node]):
+        done = 0
+        while done < n:
+            take = min(room, n - done)
+            out.append((no, position, i, done, done + take))
+            done, room, position = done + take, room - take, position + 1
+            if not room:
+                no, room, position = no + 1, window, 0
+    return out
+
+
+def test_packing_query_equals_plain_version(spark, sf_dir, docs):
+    rows = packing.embed(docs, "doc_id", "text").collect()
+    got = sorted(tuple(r) for r in queries.op4_packing(spark, sf_dir).collect())
+    want = plain_packing(rows, packing.WINDOW)
+
+    def neighbours(rows):
+        order = list(dict.fromkeys(r[2] for r in rows))
+        return {frozenset(p) for p in zip(order, order[1:], strict=False)}
+
+    # single and double precision may order a tie of distances differently
+    assert len(got) == len(want) and len(neighbours(got) & neighbours(want)) > 0.97 * len(neighbours(want))
+
+
+def test_walk_takes_the_lowest_degree_and_the_nearest_start():
+    v = np.array([[0.0], [1.0], [2.0], [9.0], [3.0]])
+    # 0-1, 1-2 and 2-0 are edges, 3 and 4 stand alone; 1 comes before 2 for 0
+    begin, to = np.array([0, 2, 4, 6, 6, 6]), np.array([1, 2, 0, 2, 1, 0])
+    assert packing.walk(np.array([2, 2, 2, 0, 0]), begin, to, np.zeros(5, int), np.zeros((1, 1)), v) == [3, 4, 2, 1, 0]
+    assert packing.walk(np.array([1, 1]), np.array([0, 1, 2]), np.array([-1, -1]), np.array([0, 0]), np.zeros((1, 1)), v[:2]) == [0, 1]
+    cells = np.array([0, 1, 1, 1, 0])
+    assert packing.walk(np.zeros(5, int), np.zeros(6, int), np.zeros(0, int), cells, np.array([[1.0], [5.0]]), v) == [0, 4, 2, 1, 3]
+
+
+def test_regions_follow_the_edges():
+    got = packing.merge_cells(np.array([10, 10, 10, 10]), [(5, 0, 1), (9, 0, 3), (8, 1, 2), (7, 0, 2)], 20)
+    assert got[0] == got[3] != got[1] == got[2]
+    assert len(set(packing.merge_cells(np.array([50, 50]), [(5, 0, 1)], 20).tolist())) == 2
+
+
+def test_packing_over_many_regions(spark, monkeypatch):
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id < 4000")
+    monkeypatch.setattr(packing, "CELL", 100)
+    monkeypatch.setattr(packing, "REGION", 500)
+    got = packing.pack(d).collect()
+    assert len({r["window_id"] >> 40 for r in got}) >= 6
+    check_windows(got, sizes_of(d.collect()), packing.WINDOW)
+    nodes = store.persist(packing.embed(d, "doc_id", "text").groupBy("node").agg({"v": "min", "n": "sum"}).toDF("id", "v", "total").select("id", "v", "total"), "t")
+    centroids = ivf.coarse(nodes, 40, packing.DIM)
+    placed, linked = packing.place(nodes, packing.graph(nodes.select("id", "v"), centroids, 40), centroids)
+    share = packing.edges_between_regions(linked)
+    sizes = placed.groupBy("region").count().toPandas()["count"]
+    assert share < 0.5 and sizes.max() <= 500, share
+    monkeypatch.setattr(packing, "REGION", 40)  # smaller than a cell: cells are split
+    assert packing.place(nodes, packing.graph(nodes.select("id", "v"), centroids, 40), centroids)[0].groupBy("region").count().toPandas()["count"].max() < 80
+
+
+def test_packing_fifty_thousand_copies(spark):
+    d = spark.range(50_000).selectExpr("id as doc_id", "'one and the same text' as text").unionByName(spark.createDataFrame([(60_000 + i, prose(i)) for i in range(50)], "doc_id long, text string"))
+    got = packing.pack(d).orderBy("window_id", "position").toPandas()
+    assert len(set(got.doc_id)) == 50_050 and (got.end_token - got.start_token).sum() == 50_000 * 5 + 50 * 60
+    copies = got[got.doc_id < 50_000].drop_duplicates("doc_id").doc_id.to_numpy()
+    assert (np.diff(copies) == 1).all(), "copies follow each other by id"
+
+
+def test_packing_by_given_sizes_and_text_ids(spark):
+    d = spark.createDataFrame([("a", "x y", 5, 1), ("b", "x y", 7, 1), ("c", "!!!", 4, 1), ("d", "z", None, 1), ("e", None, 2, 1)], "doc_id string, text string, n int, position int")
+    got = packing.pack(d, window=6, size_col="n").collect()
+    check_windows(got, {"a": 5, "b": 7, "c": 4, "e": 2}, 6)
 
 
 def test_related_documents_are_neighbours(spark):
