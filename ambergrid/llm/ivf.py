@@ -1,16 +1,21 @@
-"""Inverted files: coarse centroids, probing, bounds from product-quantised residuals, exact reranking.
+"""Inverted files: coarse centroids, probing, product-quantised residuals, distance tables, exact reranking.
 
-Every vector is a query. Centroids and codebooks come from Lloyd rounds over all vectors, each round
-an aggregate of per-partition sums. How many cells a query probes is measured: a few hundred queries
-are answered by brute force over all vectors, and the smallest number of cells that holds the
-target share of their true neighbours is taken. In the probed cells nothing is lost: every vector
-that the bounds can't rule out is measured.
+Centroids and codebooks come from Lloyd rounds over all vectors, each round an aggregate of
+per-partition sums. The index is a stored table of (cell, id, code), a code being one byte per space of the
+residual; cells are binned to groups of about MAX_LIST codes, and larger cells split. A query's vector
+goes once to every group in which it probes a cell; there tables of distances to the codebooks give
+rough distances, and the best ``depth`` of a query over all groups are measured exactly against their vectors.
+
+How many cells to probe and how many candidates to measure is measured too: SAMPLE queries are answered
+by brute force over all vectors, and the smallest numbers are taken by which the whole search finds the target
+share of their true neighbours.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .store import discard, persist
 
-#: Vectors and queries that meet in one task at most; larger cells are split over several tasks.
+#: Vectors and queries that meet in one task, about; larger cells are split over several tasks.
 MAX_LIST, MAX_QUERIES = 8_192, 32_768
 SAMPLE = 256
 DIGITS = 6
@@ -175,67 +180,10 @@ def probes_needed(vecs: DataFrame, centroids: np.ndarray, k: int, dim: int, targ
     return int(np.quantile(rows["place"], target, method="higher")) + 1 if len(rows) else 1
 
 
-class FlatScan:
-    """Exact distances to all of a cell."""
-
-    def __init__(self, dim: int):
-        self.dim = dim
-
-    def __call__(self, queries: np.ndarray, listed: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
-        return distances(queries, listed)
-
-
-class QuantisedScan:
-    """Bounds of distances from per-query tables over the residuals' codes; what they can't rule out is measured exactly.
+def neighbours(vecs: DataFrame, centroids: np.ndarray, probes: int, k: int, dim: int) -> DataFrame:
+    """``query`` and ``near`` of every vector: its k nearest others in the probed cells as (d, id), by squared distance, then id.
 
-    A vector is as far from the query as its code is, give or take the distance between vector and
-    code. Those whose least distance exceeds the k-th smallest greatest distance are ruled out.
-    """
-
-    def __init__(self, centroids: np.ndarray, books: np.ndarray):
-        self.centroids, self.books = centroids, books
-
-    def encode(self, residual: np.ndarray) -> np.ndarray:
-        width = self.books.shape[2]
-        return np.stack([nearest(np.ascontiguousarray(residual[:, s * width : (s + 1) * width]), book)[:, 0] for s, book in enumerate(self.books)], axis=1)
-
-    def prepare(self, listed: np.ndarray, cell: int) -> tuple[np.ndarray, np.ndarray, float]:
-        """Codes of a cell's vectors, their distances from their codes, and the largest square of a code's length."""
-        residual = listed - self.centroids[cell]
-        codes = self.encode(residual)
-        decoded = np.concatenate([book[codes[:, s]] for s, book in enumerate(self.books)], axis=1)
-        return codes, np.sqrt(np.square(residual.astype(np.float64) - decoded).sum(1)).astype(np.float32) * np.float32(1.0001), float((decoded * decoded).sum(1).max(initial=0))
-
-    def __call__(self, queries: np.ndarray, listed: np.ndarray, own: np.ndarray, k: int, cell: int, prepared: tuple[np.ndarray, np.ndarray, float]) -> np.ndarray:
-        """Squared distances, infinite for what is ruled out and for a query's own vector."""
-        codes, off, longest = prepared
-        width = self.books.shape[2]
-        rest = queries - self.centroids[cell]
-        rough = np.zeros((len(queries), len(listed)), np.float32)
-        for s, book in enumerate(self.books):
-            table = distances(np.ascontiguousarray(rest[:, s * width : (s + 1) * width]), book)
-            rough += table[:, codes[:, s]]
-        # sums of single precision: their error is far below this share of the terms
-        error = (1e-5 * ((rest * rest).sum(1) + longest))[:, None]
-        most = np.sqrt(rough + error) + off
-        most[own] = np.inf
-        cut = np.partition(most, k - 1, axis=1)[:, k - 1 : k] if len(listed) > k else np.inf
-        open_ = (np.sqrt(np.maximum(rough - error, 0)) - off <= cut + 1e-5 * np.abs(cut)) & ~own
-        columns = np.flatnonzero(open_.any(0))
-        d = np.where(open_[:, columns], distances(queries, listed[columns]), np.inf)
-        if len(columns) > k:
-            scale = (queries * queries).sum(1) + (listed * listed).sum(1).max()
-            d[d > np.partition(d, k - 1, axis=1)[:, k - 1 : k] + (1e-5 * scale + 10.0**-DIGITS)[:, None]] = np.inf
-        out = np.full(rough.shape, np.inf)
-        row, at = np.nonzero(np.isfinite(d))
-        for i in range(0, len(row), 1 << 16):
-            r, c = row[i : i + (1 << 16)], columns[at[i : i + (1 << 16)]]
-            out[r, c] = np.square(listed[c].astype(np.float64) - queries[r]).sum(1)
-        return out
-
-
-def neighbours(vecs: DataFrame, centroids: np.ndarray, probes: int, k: int, dim: int, scan) -> DataFrame:
-    """``query`` and ``near``: its k nearest others as (d, id), by squared distance, then id.
+    Without codes, for narrow vectors: distances are exact.
 
     Vectors meet the queries that probe their cell in one task per (cell, part of the cell, part of
     the queries), so neither a hot cell nor a popular one has to fit into a single task.
@@ -280,16 +228,11 @@ def neighbours(vecs: DataFrame, centroids: np.ndarray, probes: int, k: int, dim:
             left = left.sort_by("id")
             ids, x = left["id"].to_numpy(), matrix(left["v"], dim)
             asked, y = right["id"].to_numpy(), matrix(right["v"], dim)
-            cell = key[0].as_py()
-            prepared = scan.prepare(x, cell) if isinstance(scan, QuantisedScan) else None
             step = max(1, (1 << 21) // max(len(x), 512))
             for i in range(0, len(y), step):
                 own = asked[i : i + step, None] == ids[None, :]
-                if isinstance(scan, QuantisedScan):
-                    d = scan(y[i : i + step], x, own, k, cell, prepared)
-                else:
-                    d = scan(y[i : i + step], x, own, k)
-                    d[own] = np.inf
+                d = distances(y[i : i + step], x)
+                d[own] = np.inf
                 out.append(_emit(asked[i : i + step], np.round(d.astype(np.float64), DIGITS), ids[None, :], k))
         return pa.Table.from_batches(out)
 
@@ -298,27 +241,199 @@ def neighbours(vecs: DataFrame, centroids: np.ndarray, probes: int, k: int, dim:
     return _top(found, k)
 
 
-def approximate_neighbours(df: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", dim: int = 64, spaces: int = 8, target: float = 0.95) -> DataFrame:
-    """``id_col``, ``rank`` (from 1), ``neighbour_id``, ``distance``: about the k nearest others of every vector.
+class Codec(NamedTuple):
+    """Centroids, and the codebook of each space: (spaces, codes, width)."""
+
+    centroids: np.ndarray
+    books: np.ndarray
+
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cell of each vector, and the codes of its residual."""
+        cell = nearest(x, self.centroids)[:, 0].astype(np.int64)
+        rest, width = x - self.centroids[cell], self.books.shape[2]
+        return cell, np.stack([nearest(np.ascontiguousarray(rest[:, s * width : (s + 1) * width]), book)[:, 0] for s, book in enumerate(self.books)], axis=1).astype(np.uint8)
+
+    def rough(self, queries: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
+        """Squared distances of queries from coded vectors of a cell, by tables of distances to the codebooks."""
+        rest, width = queries - self.centroids[cell], self.books.shape[2]
+        out = np.zeros((len(queries), len(codes)), np.float32)
+        for s, book in enumerate(self.books):
+            out += distances(np.ascontiguousarray(rest[:, s * width : (s + 1) * width]), book)[:, codes[:, s]]
+        return out
+
+
+def train_codec(vecs: DataFrame, n: int, dim: int, spaces: int) -> Codec:
+    centroids = coarse(vecs, max(1, min(n, round(math.sqrt(n) / 2))), dim)
+
+    def residual(x: np.ndarray) -> np.ndarray:
+        return x - centroids[nearest(x, centroids)[:, 0]]
+
+    start, width = residual(sample(vecs, min(256, n), dim)[1]), dim // spaces
+    return Codec(centroids, lloyd(vecs, np.stack([start[:, s * width : (s + 1) * width] for s in range(spaces)]), 4, dim, residual))
+
+
+def encode(vecs: DataFrame, codec: Codec, dim: int) -> DataFrame:
+    """The index: ``cell``, ``id`` and ``code`` of every vector."""
+    shared = vecs.sparkSession.sparkContext.broadcast(codec)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for b in batches:
+            cell, codes = shared.value.encode(matrix(b.column("v"), dim))
+            yield pa.RecordBatch.from_arrays([pa.array(cell), b.column("id"), _binary(codes)], names=["cell", "id", "code"])
+
+    return vecs.mapInArrow(run, "cell bigint, id bigint, code binary")
+
+
+def _codes(column: pa.Array | pa.ChunkedArray, spaces: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, spaces)
+
+
+def _probed(codec: Codec, queries: np.ndarray, probes: int) -> np.ndarray:
+    """Which cells (columns) each query probes."""
+    out = np.zeros((len(queries), len(codec.centroids)), bool)
+    np.put_along_axis(out, nearest(queries, codec.centroids, probes), True, 1)
+    return out
 
-    Distances are Euclidean, exact and rounded; ties go to the lower id. With fewer than k others
-    there are fewer rows, with none (a single vector, an empty table) none. For rows that are left
-    out see ``vectors``; other columns are ignored.
+
+def _rough_all(codec: Codec, queries: np.ndarray, probed: np.ndarray, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Rough distances of all queries from coded vectors, infinite in cells that they don't probe."""
+    out = np.full((len(queries), len(cell)), np.inf, np.float32)
+    order = np.argsort(cell, kind="stable")
+    used, first = np.unique(cell[order], return_index=True)
+    for c, at in zip(used.tolist(), np.split(order, first[1:]), strict=True):
+        asks = np.flatnonzero(probed[:, c])
+        if len(asks):
+            out[np.ix_(asks, at)] = codec.rough(queries[asks], c, codes[at])
+    return out
+
+
+def calibrate(vecs: DataFrame, index: DataFrame, codec: Codec, k: int, dim: int, target: float) -> tuple[int, int]:
+    """Cells to probe and candidates to measure by which SAMPLE queries find ``target`` of their true neighbours.
+
+    Probing is allowed half of the loss.
+    """
+    cells, spaces = len(codec.centroids), len(codec.books)
+    ids, x = sample(vecs, SAMPLE, dim)
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for b in batches:
+            y, names = matrix(b.column("v"), dim), b.column("id").to_numpy(zero_copy_only=False)
+            for i in range(0, len(y), 8192):
+                part = np.argsort(names[i : i + 8192], kind="stable") + i
+                d = distances(x, y[part])
+                d[names[None, part] == ids[:, None]] = np.inf
+                yield _emit(ids, d, names[None, part], k)
+
+    rows = _top(vecs.mapInArrow(exact, _NEAR), k).select("query", F.explode("near.id").alias("id")).collect()
+    coded = {r["id"]: (r["cell"], np.frombuffer(r["code"], np.uint8)) for r in index.where(F.col("id").isin(sorted({r["id"] for r in rows}))).collect()}
+    row = {i: n for n, i in enumerate(ids.tolist())}
+    place = np.empty((len(x), cells), np.int64)
+    np.put_along_axis(place, nearest(x, codec.centroids, cells), np.arange(cells)[None, :], 1)
+    true = [(row[r["query"]], *coded[r["id"]]) for r in rows]
+    probes = int(np.quantile([place[q, c] for q, c, _ in true], (1 + target) / 2, method="higher")) + 1
+    probed = _probed(codec, x, probes)
+    reached = [(q, float(codec.rough(x[q : q + 1], c, code[None])[0, 0])) for q, c, code in true if probed[q, c]]
+    which, limit = np.array([q for q, _ in reached]), np.array([d for _, d in reached], np.float32)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        closer = np.zeros(len(limit), np.int64)
+        for b in batches:
+            for i in range(0, b.num_rows, 4096):
+                part = b.slice(i, 4096)
+                d = _rough_all(codec, x, probed, part.column("cell").to_numpy(), _codes(part.column("code"), spaces))
+                for q in np.unique(which):
+                    mine = np.flatnonzero(which == q)
+                    closer[mine] += np.searchsorted(np.sort(d[q]), limit[mine])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(closer))), pa.array(closer)], names=["at", "n"])
+
+    ranks = sorted(r["n"] for r in index.mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect())
+    wanted = min(len(ranks), math.ceil(target * len(true)))
+    return probes, max(2 * k, ranks[wanted - 1] + 1 + k)
+
+
+def search(vecs: DataFrame, index: DataFrame, queries: DataFrame, codec: Codec, probes: int, depth: int, k: int, dim: int) -> DataFrame:
+    """``query`` and ``near``: the k nearest others as (d, id) of each query (id, v), by squared distance, then id."""
+    cells, spaces = len(codec.centroids), len(codec.books)
+    n = np.zeros(cells, np.int64)
+    for r in index.groupBy("cell").count().collect():  # a row per cell, as many as there are centroids
+        n[r["cell"]] = r["count"]
+    # neighbouring cells share groups, so that a query goes to few of them
+    centred = codec.centroids - codec.centroids.mean(0)
+    order = np.argsort(centred @ np.linalg.svd(centred, full_matrices=False)[2][0], kind="stable") if cells > 1 else np.zeros(1, np.int64)
+    parts = np.maximum(-(-n // MAX_LIST), 1)
+    first, at, held = np.zeros(cells, np.int64), 0, 0
+    for c in order.tolist():
+        if held and held + n[c] > MAX_LIST:
+            at, held = at + 1, 0
+        first[c], held = at, held + n[c]
+        if parts[c] > 1:
+            at, held = at + int(parts[c]), 0
+    shared = vecs.sparkSession.sparkContext.broadcast((codec, first, parts))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        _, first, parts = shared.value
+        for b in batches:
+            cell, ids = b.column("cell").to_numpy(), b.column("id").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(first[cell] + ids % parts[cell]), *b.columns], names=["group", "cell", "id", "code"])
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        codec, first, parts = shared.value
+        for b in batches:
+            for i in range(0, b.num_rows, 1024):
+                part = b.slice(i, 1024)
+                x, ids = matrix(part.column("v"), dim), part.column("id").to_numpy()
+                near = nearest(x, codec.centroids, probes)
+                row, cell = np.repeat(np.arange(len(x)), near.shape[1]), near.ravel()
+                times = parts[cell]
+                group = np.repeat(first[cell], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                row, group = np.unique(np.stack([np.repeat(row, times), group]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(ids[row]), _binary(x[row])], names=["group", "id", "v"])
+
+    def meet(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [_emit(np.zeros(0, np.int64), np.zeros((0, 1)), np.zeros((0, 1), np.int64), depth)]
+        if left.num_rows and right.num_rows:
+            codec = shared.value[0]
+            left = left.sort_by("id")
+            ids, cell, codes = left["id"].to_numpy(), left["cell"].to_numpy(), _codes(left["code"], spaces)
+            names, y = right["id"].to_numpy(), matrix(right["v"], dim)
+            step = max(1, (1 << 21) // len(ids))
+            for i in range(0, len(y), step):
+                d = _rough_all(codec, y[i : i + step], _probed(codec, y[i : i + step], probes), cell, codes)
+                d[names[i : i + step, None] == ids[None, :]] = np.inf
+                out.append(_emit(names[i : i + step], d, ids[None, :], depth))
+        return pa.Table.from_batches(out)
+
+    lists = index.select("cell", "id", "code").mapInArrow(listed, "group bigint, cell bigint, id bigint, code binary").groupBy("group")
+    found = lists.cogroup(queries.mapInArrow(asked, "group bigint, id bigint, v binary").groupBy("group")).applyInArrow(meet, _NEAR)
+    best = persist(_top(found, depth), "candidates").select("query", F.explode("near.id").alias("id"))
+    pairs = best.join(vecs.withColumnRenamed("v", "theirs"), "id").join(queries.select(F.col("id").alias("query"), F.col("v").alias("mine")), "query")
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for b in batches:
+            d = np.square(matrix(b.column("mine"), dim).astype(np.float64) - matrix(b.column("theirs"), dim)).sum(1)
+            yield pa.RecordBatch.from_arrays([b.column("query"), pa.array(np.round(d, DIGITS)), b.column("id")], names=["query", "d", "id"])
+
+    exact = pairs.select("query", "id", "mine", "theirs").mapInArrow(measure, "query bigint, d double, id bigint")
+    return exact.groupBy("query").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "id"))), 1, k).alias("near"))
+
+
+def approximate_neighbours(df: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", dim: int = 64, spaces: int = 16, target: float = 0.95, every: int = 1) -> DataFrame:
+    """``id_col``, ``rank`` (from 1), ``neighbour_id``, ``distance``: about the k nearest others of the vectors whose id is a multiple of ``every``.
+
+    All vectors are searched. Distances are Euclidean, exact and rounded; ties go to the lower id. With
+    fewer than k others there are fewer rows, with none (a single vector, an empty table) none. Ids are
+    whole numbers. For rows that are left out see ``vectors``; other columns are ignored. Of copies
+    the lowest ids come first; a vector of which there are more copies than candidates may hide others
+    that are as near.
     """
     vecs = persist(vectors(df, id_col, vec_col, dim), "vectors")
     n = vecs.count()
     if n < 2:
         return df.sparkSession.createDataFrame([], f"`{id_col}` bigint, rank int, neighbour_id bigint, distance double")
-    cells = max(1, min(n, round(math.sqrt(n) / 2)))
-    centroids = coarse(vecs, cells, dim)
-    probes = probes_needed(vecs, centroids, k, dim, target)
-
-    def residual(x: np.ndarray) -> np.ndarray:
-        return x - centroids[nearest(x, centroids)[:, 0]]
-
-    size, width = min(256, n), dim // spaces
-    start = residual(sample(vecs, size, dim)[1])
-    books = lloyd(vecs, np.stack([start[:, s * width : (s + 1) * width] for s in range(spaces)]), 4, dim, residual)
-    found = persist(neighbours(vecs, centroids, probes, k, dim, QuantisedScan(centroids, books)), "neighbours")
-    discard(vecs)
+    codec = train_codec(vecs, n, dim, spaces)
+    index = persist(encode(vecs, codec, dim), "codes")
+    probes, depth = calibrate(vecs, index, codec, k, dim, target)
+    found = persist(search(vecs, index, vecs.where(F.pmod("id", F.lit(every)) == 0), codec, probes, depth, k, dim), "neighbours")
+    for t in (vecs, index):
+        discard(t)
     return found.select(F.col("query").alias(id_col), F.posexplode("near").alias("p", "n")).select(id_col, (F.col("p") + 1).alias("rank"), F.col("n.id").alias("neighbour_id"), F.round(F.sqrt("n.d"), DIGITS).alias("distance"))

@@ -57,7 +57,7 @@ def embed(docs: DataFrame, id_col: str, text_col: str, size_col: str | None = No
 
 def graph(vecs: DataFrame, centroids: np.ndarray, probes: int) -> DataFrame:
     """Edges (a, b, d) both ways between distinct vectors (id, v) and their K nearest neighbours."""
-    found = ivf.neighbours(vecs, centroids, probes, K, DIM, ivf.FlatScan(DIM))
+    found = ivf.neighbours(vecs, centroids, probes, K, DIM)
     near = found.select(F.col("query").alias("a"), F.explode("near").alias("e")).select("a", F.col("e.id").alias("b"), F.col("e.d").alias("d"))
     return near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).distinct()
 

@@ -45,7 +45,7 @@ def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ivf.approximate_neighbours(table(spark, sf_dir, "embeddings"))
+    return ivf.approximate_neighbours(table(spark, sf_dir, "embeddings"), every=50)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

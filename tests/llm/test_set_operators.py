@@ -243,7 +243,7 @@ def test_packing_graph_recall(spark):
     t = nodes.toArrow()
     ids, x = t["id"].to_numpy(), ivf.matrix(t["v"], packing.DIM)
     centroids = ivf.coarse(nodes, 9, packing.DIM)
-    found = ivf.neighbours(nodes, centroids, ivf.probes_needed(nodes, centroids, packing.K, packing.DIM, 0.95), packing.K, packing.DIM, ivf.FlatScan(packing.DIM))
+    found = ivf.neighbours(nodes, centroids, ivf.probes_needed(nodes, centroids, packing.K, packing.DIM, 0.95), packing.K, packing.DIM)
     near = {r["query"]: [n["id"] for n in r["near"]] for r in found.collect()}
     dist = ivf.distances(x[:1000], x)
     dist[np.arange(1000), np.arange(1000)] = np.inf
@@ -393,16 +393,27 @@ def brute_neighbours(ids, x, k):
 def test_nearest_vectors_recall(spark):
     sf = "/root/testdata/sf0.1"
     t = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()
-    want = brute_neighbours(t.vec_id.to_numpy(), np.stack(t.embedding.to_numpy()).astype(np.float32), 10)
+    want = {i: w for i, w in brute_neighbours(t.vec_id.to_numpy(), np.stack(t.embedding.to_numpy()).astype(np.float32), 10).items() if i % 50 == 0}
     got = queries.op9_nearest_vectors(spark, sf).toPandas()
-    assert len(got) == 10 * len(t) and sorted(got[got.vec_id == got.vec_id[0]]["rank"]) == list(range(1, 11))
+    assert len(got) == 10 * len(want) and sorted(got[got.vec_id == got.vec_id[0]]["rank"]) == list(range(1, 11))
     found = got.groupby("vec_id").neighbour_id.agg(set)
-    assert np.mean([len(found[i] & set(w)) / 10 for i, w in want.items()]) >= 0.9
+    assert set(found.index) == set(want) and np.mean([len(found[i] & set(w)) / 10 for i, w in want.items()]) >= 0.9
     x = dict(zip(t.vec_id, t.embedding, strict=True))
     for r in got.sample(50, random_state=1).itertuples():
         assert r.distance == pytest.approx(np.linalg.norm(np.array(x[r.vec_id]) - x[r.neighbour_id]), abs=1e-3)
 
 
+def test_distance_tables_give_the_distance_from_the_code():
+    rng = np.random.default_rng(4)
+    codec = ivf.Codec(rng.normal(0, 1, (3, 8)).astype(np.float32), rng.normal(0, 0.5, (4, 16, 2)).astype(np.float32))
+    x, y = rng.normal(0, 1, (50, 8)).astype(np.float32), rng.normal(0, 1, (5, 8)).astype(np.float32)
+    cell, codes = codec.encode(x)
+    for c in range(3):
+        at = np.flatnonzero(cell == c)
+        decoded = codec.centroids[c] + np.concatenate([codec.books[s][codes[at, s]] for s in range(4)], axis=1)
+        assert np.allclose(codec.rough(y, c, codes[at]), np.square(y[:, None] - decoded[None]).sum(2), atol=1e-3)
+
+
 @pytest.mark.parametrize("size, spread, copies", [(100, 0.3, 1), (100, 0.05, 1), (1000, 0.3, 1), (100, 0.05, 40)])
 def test_nearest_vectors_in_clusters(spark, size, spread, copies):
     rng = np.random.default_rng(3)
@@ -427,7 +438,7 @@ def test_crowded_cells_are_split(spark, monkeypatch):
     df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "id long, e array<float>")
     vecs = ivf.vectors(df, "id", "e", 8)
     centroids = ivf.coarse(vecs, 4, 8)
-    got = {r["query"]: [n["id"] for n in r["near"]] for r in ivf.neighbours(vecs, centroids, 4, 5, 8, ivf.FlatScan(8)).collect()}
+    got = {r["query"]: [n["id"] for n in r["near"]] for r in ivf.neighbours(vecs, centroids, 4, 5, 8).collect()}
     want = brute_neighbours(np.arange(300), x, 5)
     assert all(got[i] == want[i].tolist() for i in range(150, 300)) and np.mean([set(got[i]) == set(want[i].tolist()) for i in range(150)]) > 0.98
 
