@@ -377,6 +377,27 @@ def test_search_prunes_and_breaks_ties_by_id(spark, monkeypatch):
     assert_same(search.top_k(d, q), con, search.ORACLE_SQL)
 
 
+def test_only_blocks_whose_bound_reaches_the_floor_are_unpacked():
+    rng = np.random.default_rng(0)
+    q = search._parse([1], ["rare word"])
+    rare, word = (int(np.flatnonzero(q.terms == kernel.lowered_words(pa.array([w])).hash[0])[0]) for w in ("rare", "word"))
+    rows = []
+    for number in range(40):  # every block has the word; a few have documents that are rich in both
+        rich = number % 10 == 3
+        docs = [([rare, word], [9, 9]) if rich and i < 4 else ([word], [1]) for i in range(50)]
+        rows.append(search.pack_block(number, {"ids": number * 100 + np.arange(50), "length": rng.integers(50, 90, 50), "count": np.array([len(t) for t, _ in docs]), "term": np.array([sorted(t)[i] for t, _ in docs for i in range(len(t))]), "tf": np.array([x for _, f in docs for x in f])}))
+    batch = pa.RecordBatch.from_pylist(rows)
+    stats = search.Statistics(2000, 70.0, np.array([3.0, 3.0]))
+    first = search.Searcher(q, stats, 10, np.zeros(1))
+    first.search(batch, bound := first.bounds(batch))
+    again = search.Searcher(q, stats, 10, np.array([first.heaps[0][0][0]]))
+    again.search(batch, bound)
+    assert sorted(first.heaps[0]) == sorted(again.heaps[0]) and first.unpacked == again.unpacked == 4
+    for i in range(40):  # bounds hold for every document
+        ids, start, term, weight = first._unpack(batch, i)
+        assert np.add.reduceat(weight, start).max() <= bound[i, 0] + 1e-9
+
+
 def test_search_awkward(spark, awkward, nothing):
     q = spark.createDataFrame([(1, "one two", 5), (1, None, 5), (2, None, 5), (3, "", 5), (None, "one", 5), (4, "absent", 5), (5, "w1 " * 3000, 5)], "item_id long, text string, doc_id int")
     got = search.top_k(awkward, q).collect()
