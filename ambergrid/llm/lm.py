@@ -1,31 +1,42 @@
 """A log-bilinear language model trained by noise-contrastive estimation (Mnih and Teh, 2012).
 
-Tokens are words: the most frequent ones of the whole corpus have numbers of their own, the others
-share hash buckets. A context is the two tokens before; its predicted vector is the sum of their
-vectors, each weighted by a vector of its position, and a token's score is the product with its
-output vector plus its bias. Training sees every token of the corpus once: each partition turns its
-part into distinct trigrams with counts and descends on them from a common start; the results are
-averaged, weighted by tokens, before the next part. Noise comes from the corpus' unigram
-distribution. Scoring normalises exactly over the vocabulary, by batched matrix products over the
-contexts that occur.
+Tokens are words, all of the corpus: its vocabulary grows with it. A word's probability is that of its
+class, given the two classes before, times its share of the class' words in the corpus. The FREQUENT most frequent words
+are classes of their own; the others fall into BUCKETS classes by hash, so the neural part has a fixed
+size and only tells rare words' buckets apart, while word counts tell the words.
+
+A context is the two classes before; its predicted vector is the sum of their vectors, each weighted by a vector of its
+position, and a class' score is the product with its output vector plus its bias. Training sees every
+token of the corpus once: each partition turns its part into distinct trigrams with counts and descends
+on them from a common start; the results are averaged, weighted by tokens, before the next part. Noise
+comes from the corpus' unigram distribution. Scoring normalises exactly over the classes, by batched
+matrix products over the contexts that occur. As models are averaged over partitions, scores
+differ a little with the partitioning of the input.
+
+Texts are handled in blocks of up to a megabyte, which list their distinct rare words. The counts of the HEADS most
+frequent of these are broadcast, those of all others joined to the blocks that hold them.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .kernel import lowered_words, slices
-from .store import discard, persist
+from .store import persist
 
-#: Numbers of tokens: 0 begins a text, then the frequent words, then the buckets of the others.
+#: Numbers of classes: 0 begins a text, then the frequent words, then the buckets of the others.
 FREQUENT, BUCKETS = 767, 256
+#: Words after the frequent ones whose counts are broadcast, a megabyte.
+HEADS = 65_536
 VOCABULARY = 1 + FREQUENT + BUCKETS
 DIM, NOISE, ROUNDS = 32, 64, 3
 MINIBATCH, RATE = 8192, 0.1
@@ -34,20 +45,28 @@ assert VOCABULARY <= 1 << _BITS
 
 
 class Vocabulary(NamedTuple):
-    """Sorted hashes of the frequent words, their token numbers, and the share of every token."""
+    """Sorted hashes of the frequent words and their class numbers; sorted hashes of the words after them and their counts."""
 
     hashes: np.ndarray
     numbers: np.ndarray
+    heads: np.ndarray
+    counts: np.ndarray
 
     def encode(self, h: np.ndarray) -> np.ndarray:
         out = (h % np.uint64(BUCKETS)).astype(np.int16) + np.int16(1 + FREQUENT)
-        if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            known = self.hashes[at] == h
-            out[known] = self.numbers[at[known]]
+        known, at = _find(self.hashes, h)
+        out[known] = self.numbers[at[known]]
         return out
 
 
+def _find(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which values are in a sorted table, and where."""
+    if not len(table):
+        return np.zeros(len(values), bool), np.zeros(len(values), np.int64)
+    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
+    return table[at] == values, at
+
+
 class Model(NamedTuple):
     """input: token vectors; position: weights of the token before (0) and the one before it (1)."""
 
@@ -99,28 +118,69 @@ def count_words(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(docs: DataFrame, text_col: str) -> Vocabulary:
-    """The FREQUENT words with the highest counts over all texts; ties by hash."""
-    rows = count_words(docs, text_col).orderBy(F.desc("n"), "word").limit(FREQUENT).toPandas()
-    h = rows["word"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(h)
-    return Vocabulary(h[order], (order + 1).astype(np.int16))
+def vocabulary(counted: DataFrame) -> Vocabulary:
+    """From (word, n) over all texts: the FREQUENT words with the highest counts and the HEADS next ones; ties by hash."""
+    rows = counted.orderBy(F.desc("n"), "word").limit(FREQUENT + HEADS).toPandas()
+    h, n = rows["word"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
+    order, after = np.argsort(h[:FREQUENT]), np.argsort(h[FREQUENT:])
+    return Vocabulary(h[:FREQUENT][order], (order + 1).astype(np.int16), h[FREQUENT:][after], n[FREQUENT:][after])
 
 
 def tokenise(docs: DataFrame, words: Vocabulary, id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``tokens`` (int16 bytes, null for a null text)."""
+    """A row per text: ``block``, ``id``, ``tokens`` (classes as int16 bytes, null for a null text) and ``rare``; and one per block with ``words``.
+
+    words: the hashes of the block's distinct words in buckets, ascending. rare: for each token in a bucket its
+    place in them (int32 bytes).
+    """
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
         for b in batches:
             for part in slices(b, "text"):
                 w = lowered_words(part.column("text"))
                 codes = shared.value.encode(w.hash)
-                lists = [codes[i:j].tobytes() if there else None for i, j, there in zip(w.offset[:-1], w.offset[1:], part.column("text").is_valid().to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(lists, pa.binary())], names=["id", "tokens"])
+                bucketed = codes > FREQUENT
+                listed, rare = np.unique(w.hash[bucketed], return_inverse=True)
+                rare, upto = rare.astype(np.int32), np.concatenate([[0], np.cumsum(bucketed)])
+                there = part.column("text").is_valid().to_pylist()
+                lists = [codes[i:j].tobytes() if t else None for i, j, t in zip(w.offset[:-1], w.offset[1:], there, strict=True)]
+                places = [rare[upto[i] : upto[j]].tobytes() if t else None for i, j, t in zip(w.offset[:-1], w.offset[1:], there, strict=True)]
+                none = pa.nulls(part.num_rows, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, block)), part.column("id"), pa.array(lists, pa.binary()), pa.array(places, pa.binary()), none], names=["block", "id", "tokens", "rare", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.nulls(1, part.column("id").type), *[pa.nulls(1, pa.binary())] * 2, pa.array([listed.tobytes()])], names=["block", "id", "tokens", "rare", "words"])
+                block += 1
 
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(run, f"id {picked.schema[0].dataType.simpleString()}, tokens binary")
+    return picked.mapInArrow(run, f"block bigint, id {picked.schema[0].dataType.simpleString()}, tokens binary, rare binary, words binary")
+
+
+def tail_counts(encoded: DataFrame, counted: DataFrame, words: Vocabulary) -> DataFrame:
+    """``block``, ``place`` and ``n``: the corpus count of every block's words beyond the broadcast ones."""
+    shared = encoded.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for b in batches:
+            for block, packed in zip(b.column("block").to_pylist(), b.column("words"), strict=True):
+                h = np.frombuffer(packed.as_buffer(), np.uint64)
+                place = np.flatnonzero(~_find(shared.value.heads, h)[0])
+                yield pa.RecordBatch.from_arrays([pa.array(h[place].view(np.int64)), pa.array(np.full(len(place), block)), pa.array(place)], names=["word", "block", "place"])
+
+    asked = encoded.where("words is not null").select("block", "words").mapInArrow(run, "word bigint, block bigint, place bigint")
+    return asked.join(counted, "word").select("block", "place", "n")
+
+
+def _token_counts(encoded: DataFrame) -> np.ndarray:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        n = np.zeros(VOCABULARY, np.int64)
+        for b in batches:
+            n += np.bincount(np.frombuffer(b"".join([x for x in b.column("tokens").to_pylist() if x]), np.int16), minlength=VOCABULARY)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(VOCABULARY)), pa.array(n)], names=["token", "n"])
+
+    out = np.zeros(VOCABULARY, np.int64)
+    for r in encoded.select("tokens").mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).collect():
+        out[r["token"]] = r["n"]
+    return out
 
 
 def trigram_codes(lists: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -205,10 +265,10 @@ def start(counts: np.ndarray, seed: int = 5) -> tuple[Model, np.ndarray]:
     return Model(vec(), vec(), np.log(noise + 1e-9).astype(np.float32), np.ones((2, DIM), np.float32)), noise
 
 
-def train(encoded: DataFrame, rounds: int = ROUNDS) -> Model:
-    """A model from all of ``encoded`` (id, tokens): every text is in one of the rounds, by its hash."""
+def train(encoded: DataFrame, counts: np.ndarray, rounds: int = ROUNDS) -> Model:
+    """A model from all of ``encoded`` (tokens) and the counts of its classes: every text is in one of the rounds, by its hash."""
     spark = encoded.sparkSession
-    model, noise = start(_token_counts(encoded))
+    model, noise = start(counts)
     tasks = encoded.rdd.getNumPartitions()
     groups = max(1, int(np.sqrt(tasks)))
     for r in range(rounds):
@@ -242,7 +302,7 @@ def train(encoded: DataFrame, rounds: int = ROUNDS) -> Model:
             mean = sum(np.frombuffer(m, np.float32).astype(np.float64) * w for m, w in zip(pdf["model"], pdf["n"], strict=True)) / n
             return pd.DataFrame({"g": [0], "n": [n], "model": [mean.astype(np.float32).tobytes()]})
 
-        mine = encoded.where(F.pmod(F.xxhash64("tokens"), F.lit(rounds)) == r).select("tokens")
+        mine = encoded.where("words is null").where(F.pmod(F.xxhash64("tokens"), F.lit(rounds)) == r).select("tokens")
         # two levels, so that neither a task nor the driver receives every partition's model
         schema = "g bigint, n double, model binary"
         rows = mine.mapInArrow(run, schema).groupBy("g").applyInPandas(average, schema).toPandas()
@@ -272,46 +332,62 @@ class Tables:
         return self.one[context & 1023, token] + self.two[context >> _BITS, token] + self.bias[token] - self.log_z[context]
 
 
-_tables: dict[int, Tables] = {}
+_tables: dict[bytes, Tables] = {}
 
 
-def score_tokens(encoded: DataFrame, model: Model, id_col: str) -> DataFrame:
-    """``id_col``, ``n_tokens``, ``mean_logprob``, ``perplexity``, ``token_logprobs`` of every row of (id, tokens)."""
-    shared = encoded.sparkSession.sparkContext.broadcast(model)
+def score_tokens(encoded: DataFrame, tail: DataFrame, words: Vocabulary, counts: np.ndarray, model: Model, id_col: str) -> DataFrame:
+    """``id_col``, ``n_tokens``, ``mean_logprob``, ``perplexity``, ``token_logprobs`` of every text of ``tokenise``.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        key = hash(shared.value.pack())
+    tail: of ``tail_counts``. counts: of the classes.
+    """
+    raw = model.pack()
+    shared = encoded.sparkSession.sparkContext.broadcast((words, np.log(np.maximum(counts, 1)), model, hashlib.sha1(raw).digest()))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        words, log_total, model, key = shared.value
         if key not in _tables:
             _tables.clear()
-            _tables[key] = Tables(shared.value)
-        for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                lists = part.column("tokens").to_pylist()
-                codes, size = trigram_codes(lists)
-                p = _tables[key].log_probabilities(codes)
-                sums = np.concatenate([[0.0], np.cumsum(p, dtype=np.float64)])
-                stop = np.cumsum(size)
-                none = np.array([x is None for x in lists], bool)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    mean = (sums[stop] - sums[stop - size]) / size
-                empty = size == 0
-                offset = pa.array(np.concatenate([[0], stop]).astype(np.int32))
-                columns = [part.column("id"), pa.array(size, mask=none), pa.array(mean, mask=empty), pa.array(np.exp(-np.where(empty, 0, mean)), mask=empty), pa.ListArray.from_arrays(offset, pa.array(p, pa.float32()), mask=pa.array(none))]
-                yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_tokens", "mean_logprob", "perplexity", "token_logprobs"])
+            _tables[key] = Tables(model)
+        whole = left.combine_chunks()
+        has_words = whole["words"].is_valid()
+        packed = whole.filter(has_words)["words"]
+        h = np.frombuffer(packed[0].as_buffer(), np.uint64) if len(packed) else np.zeros(0, np.uint64)
+        known, at = _find(words.heads, h)
+        n = np.ones(len(h), np.int64)
+        n[known] = words.counts[at[known]]
+        n[right["place"].to_numpy()] = right["n"].to_numpy()
+        log_n = np.log(n)
+        part = whole.filter(pc.invert(has_words))
+        lists = part["tokens"].to_pylist()
+        codes, size = trigram_codes(lists)
+        p = _tables[key].log_probabilities(codes).astype(np.float64)
+        token = codes & 1023
+        bucketed = token > FREQUENT
+        rare = np.frombuffer(b"".join([x for x in part["rare"].to_pylist() if x]), np.int32)
+        p[bucketed] += log_n[rare] - log_total[token[bucketed]]
+        sums, stop = np.concatenate([[0.0], np.cumsum(p)]), np.cumsum(size)
+        none, empty = np.array([x is None for x in lists], bool), size == 0
+        with np.errstate(invalid="ignore", divide="ignore"):
+            mean = (sums[stop] - sums[stop - size]) / size
+        offset = pa.array(np.concatenate([[0], stop]).astype(np.int32))
+        columns = [part["id"].combine_chunks(), pa.array(size, mask=none), pa.array(mean, mask=empty), pa.array(np.exp(-np.where(empty, 0, mean)), mask=empty), pa.ListArray.from_arrays(offset, pa.array(p.astype(np.float32)), mask=pa.array(none))]
+        return pa.Table.from_arrays(columns, names=[id_col, "n_tokens", "mean_logprob", "perplexity", "token_logprobs"])
 
     kind = encoded.schema["id"].dataType.simpleString()
-    return encoded.mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, mean_logprob double, perplexity double, token_logprobs array<float>")
+    return encoded.groupBy("block").cogroup(tail.groupBy("block")).applyInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, mean_logprob double, perplexity double, token_logprobs array<float>")
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Train on all of ``docs`` and score every token of it.
 
     One row per input row: ``id_col``; ``n_tokens``; ``mean_logprob`` and ``perplexity`` (both null
-    without tokens); ``token_logprobs``, natural logarithms that sum to one over the vocabulary.
+    without tokens); ``token_logprobs``, natural logarithms of probabilities that sum to one over all words of the corpus.
     Null text: null in all columns but the id. Empty or wordless text: 0 tokens and an empty list.
-    Null and repeated ids stay; equal texts get equal scores. Other columns are left out. An empty
+    Null and repeated ids stay; equal texts get equal scores, up to rounding. Other columns are left out. An empty
     table gives an empty result.
     """
-    encoded = persist(tokenise(docs, vocabulary(docs, text_col), id_col, text_col), "tokens")
-    return score_tokens(encoded, train(encoded), id_col)
+    counted = persist(count_words(docs, text_col), "words")
+    words = vocabulary(counted)
+    encoded = persist(tokenise(docs, words, id_col, text_col), "tokens")
+    counts = _token_counts(encoded)
+    return score_tokens(encoded, tail_counts(encoded, counted, words), words, counts, train(encoded, counts), id_col)

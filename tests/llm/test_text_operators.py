@@ -1,5 +1,6 @@
 """Token counts, BPE, toxicity, quality, language model: against independent versions and on awkward input."""
 
+import collections
 import random
 
 import numpy as np
@@ -230,19 +231,69 @@ def test_quality_awkward(awkward, nothing):
     assert quality.score(nothing, quality.fit(nothing)[1]).collect() == []
 
 
-def test_language_model_is_normalised_and_beats_unigrams(spark, sf_dir):
+def test_language_model_query_beats_unigrams(spark, sf_dir):
     d = docs(spark, sf_dir)
     rows = queries.op8_lm_scores(spark, sf_dir).collect()
     assert len(rows) == d.count()
     for r in rows:
         assert r["n_tokens"] == len(r["token_logprobs"]) and r["mean_logprob"] == pytest.approx(np.mean(r["token_logprobs"]), abs=1e-4) and max(r["token_logprobs"]) < 0
-    encoded = lm.tokenise(d, lm.vocabulary(d, "text"), "doc_id", "text").cache()
-    counts = lm._token_counts(encoded)
-    p = counts[counts > 0] / counts.sum()
-    assert sum(sum(r["token_logprobs"]) for r in rows) / counts.sum() > (p * np.log(p)).sum()
-    tables = lm.Tables(lm.train(encoded))
-    every = (np.int32(5) << 20) | (np.int32(9) << 10) | np.arange(1024, dtype=np.int32)
-    assert np.exp(tables.log_probabilities(every).astype(float)).sum() == pytest.approx(1, abs=1e-3)
+    n = np.array([r["n"] for r in lm.count_words(d, "text").collect()])
+    assert sum(sum(r["token_logprobs"]) for r in rows) / n.sum() > (n / n.sum() * np.log(n / n.sum())).sum()
+
+
+@pytest.mark.parametrize("heads", [65_536, 50])
+def test_scores_equal_plain_softmax_and_counts(spark, sf_dir, monkeypatch, heads):
+    """With a fixed model, every probability by dictionaries: softmax over classes times the word's share of its class."""
+    monkeypatch.setattr(lm, "HEADS", heads)
+    monkeypatch.setattr(lm, "train", lambda encoded, counts: lm.start(counts)[0])
+    d = docs(spark, sf_dir).where("doc_id < 60 and length(text) < 3000")
+    texts = {r["doc_id"]: kernel.lowered_words(pa.array([r["text"]])).hash.tolist() for r in d.collect()}
+    count = collections.Counter(h for t in texts.values() for h in t)
+    signed = lambda h: h - (1 << 64) if h >= 1 << 63 else h
+    frequent = {h: i + 1 for i, h in enumerate(sorted(count, key=lambda h: (-count[h], signed(h)))[: lm.FREQUENT])}
+    of = {h: frequent.get(h, 1 + lm.FREQUENT + h % lm.BUCKETS) for h in count}
+    total = collections.Counter()
+    for h, n in count.items():
+        total[of[h]] += n
+    model = lm.start(np.array([total[c] for c in range(lm.VOCABULARY)]))[0]
+    for r in lm.score(d).collect():
+        one = two = 0
+        for h, got in zip(texts[r["doc_id"]], r["token_logprobs"], strict=True):
+            s = model.output.astype(float) @ (model.input[one] * model.position[0] + model.input[two] * model.position[1]) + model.bias
+            p = np.exp(s - s.max())
+            want = np.log(p[of[h]] / p[1:].sum()) + np.log(count[h] / total[of[h]])
+            assert got == pytest.approx(want, abs=2e-3)
+            one, two = of[h], one
+
+
+def test_descent_equals_plain_noise_contrastive_estimation():
+    """One minibatch by loops over trigrams and noise words."""
+    counts = np.zeros(lm.VOCABULARY, np.int64)
+    counts[1:9] = [40, 30, 20, 10, 5, 4, 3, 2]
+    model, noise = lm.start(counts)
+    trigrams = {(0, 0, 1): 5, (0, 1, 2): 3, (1, 2, 3): 2, (2, 3, 4): 1, (1, 2, 1): 4}
+    codes = np.array([(a << 20) | (b << 10) | c for a, b, c in trigrams], np.int32)
+    got = lm.descend(model, codes, np.array(list(trigrams.values())), noise, seed=3)
+    rng = np.random.default_rng(3)
+    rng.permutation(len(codes))
+    fakes = np.minimum(np.searchsorted(np.cumsum(noise), rng.random(lm.NOISE) * np.cumsum(noise)[-1], side="right"), lm.VOCABULARY - 1)
+    inp, out, bias, position = (np.array(x, float) for x in model)
+    g_in, g_out, g_bias, g_pos = (np.zeros_like(x) for x in (inp, out, bias, position))
+    for (two, one, word), n in trigrams.items():
+        h, weight = inp[one] * position[0] + inp[two] * position[1], n / sum(trigrams.values())
+        back = np.zeros(lm.DIM)
+        for w, real in [(word, True), *((f, False) for f in fakes)]:
+            odds = h @ out[w] + bias[w] - np.log(lm.NOISE * noise[w] + 1e-12)
+            slope = weight * (1 / (1 + np.exp(-odds)) - real)  # of -log P(real or noise)
+            g_out[w] += slope * h
+            g_bias[w] += slope
+            back += slope * out[w]
+        g_in[one] += back * position[0]
+        g_in[two] += back * position[1]
+        g_pos += back * np.stack([inp[one], inp[two]])
+    for old, g, new, least in ((inp, g_in, got.input, 1e-4), (out, g_out, got.output, 1e-4), (bias, g_bias, got.bias, 1e-4), (position, g_pos, got.position, 1e-2)):
+        square = g * g if old is bias or old is position else (g * g).mean(1, keepdims=True)
+        assert np.allclose(old - lm.RATE * g / np.sqrt(least + square), new, atol=1e-4)
 
 
 def test_tables_equal_plain_softmax():
@@ -262,9 +313,10 @@ def test_trigrams_of_short_lists():
 
 
 def test_language_model_awkward(awkward, nothing):
-    rows = lm.score(awkward.coalesce(1)).collect()
-    assert [r["doc_id"] for r in rows] == [r[0] for r in AWKWARD]
-    for r, t in zip(rows, ODD, strict=True):
-        assert (r["n_tokens"] is None) == (t is None) and (r["mean_logprob"] is None) == (not r["n_tokens"])
-    assert rows[-1]["mean_logprob"] == rows[-2]["mean_logprob"]
+    rows = lm.score(awkward).collect()
+    assert sorted((r["doc_id"] for r in rows), key=str) == sorted((r[0] for r in AWKWARD), key=str)
+    size = {i: None if t is None else len(kernel.lowered_words(pa.array([t])).hash) for i, t, *_ in AWKWARD if i}
+    by_id = {r["doc_id"]: r for r in rows if r["doc_id"]}
+    assert {i: r["n_tokens"] for i, r in by_id.items()} == size and all((r["mean_logprob"] is None) == (not r["n_tokens"]) for r in rows)
+    assert by_id[11]["mean_logprob"] == pytest.approx(by_id[12]["mean_logprob"], abs=1e-9)
     assert lm.score(nothing).collect() == []
