@@ -129,8 +129,8 @@ def vocabulary(counted: DataFrame) -> Vocabulary:
 def tokenise(docs: DataFrame, words: Vocabulary, id_col: str, text_col: str) -> DataFrame:
     """A row per text: ``block``, ``id``, ``tokens`` (classes as int16 bytes, null for a null text) and ``rare``; and one per block with ``words``.
 
-    words: the hashes of the block's distinct words in buckets, ascending. rare: for each token in a bucket its
-    place in them (int32 bytes).
+    words: the hashes of the block's distinct words in buckets, by bucket. rare: for each token in a bucket
+    its place among the bucket's words, in as few bytes as the block's largest bucket takes.
     """
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
@@ -141,8 +141,13 @@ def tokenise(docs: DataFrame, words: Vocabulary, id_col: str, text_col: str) ->
                 w = lowered_words(part.column("text"))
                 codes = shared.value.encode(w.hash)
                 bucketed = codes > FREQUENT
-                listed, rare = np.unique(w.hash[bucketed], return_inverse=True)
-                rare, upto = rare.astype(np.int32), np.concatenate([[0], np.cumsum(bucketed)])
+                listed, where = np.unique(w.hash[bucketed], return_inverse=True)
+                order = np.argsort(listed % np.uint64(BUCKETS), kind="stable")
+                listed = listed[order]
+                first, kind = bucket_starts(listed)
+                place = np.empty(len(listed), np.int64)
+                place[order] = np.arange(len(listed)) - first[(listed % np.uint64(BUCKETS)).astype(np.int64)]
+                rare, upto = place[where].astype(kind), np.concatenate([[0], np.cumsum(bucketed)])
                 there = part.column("text").is_valid().to_pylist()
                 lists = [codes[i:j].tobytes() if t else None for i, j, t in zip(w.offset[:-1], w.offset[1:], there, strict=True)]
                 places = [rare[upto[i] : upto[j]].tobytes() if t else None for i, j, t in zip(w.offset[:-1], w.offset[1:], there, strict=True)]
@@ -155,6 +160,12 @@ def tokenise(docs: DataFrame, words: Vocabulary, id_col: str, text_col: str) ->
     return picked.mapInArrow(run, f"block bigint, id {picked.schema[0].dataType.simpleString()}, tokens binary, rare binary, words binary")
 
 
+def bucket_starts(listed: np.ndarray) -> tuple[np.ndarray, np.dtype]:
+    """Where each bucket's words begin in a block's list, and the type of places within a bucket."""
+    size = np.bincount((listed % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+    return np.cumsum(size) - size, np.min_scalar_type(int(size.max()))
+
+
 def tail_counts(encoded: DataFrame, counted: DataFrame, words: Vocabulary) -> DataFrame:
     """``block``, ``place`` and ``n``: the corpus count of every block's words beyond the broadcast ones."""
     shared = encoded.sparkSession.sparkContext.broadcast(words)
@@ -363,7 +374,8 @@ def score_tokens(encoded: DataFrame, tail: DataFrame, words: Vocabulary, counts:
         p = _tables[key].log_probabilities(codes).astype(np.float64)
         token = codes & 1023
         bucketed = token > FREQUENT
-        rare = np.frombuffer(b"".join([x for x in part["rare"].to_pylist() if x]), np.int32)
+        first, kind = bucket_starts(h)
+        rare = first[token[bucketed] - 1 - FREQUENT] + np.frombuffer(b"".join([x for x in part["rare"].to_pylist() if x]), kind)
         p[bucketed] += log_n[rare] - log_total[token[bucketed]]
         sums, stop = np.concatenate([[0.0], np.cumsum(p)]), np.cumsum(size)
         none, empty = np.array([x is None for x in lists], bool), size == 0
