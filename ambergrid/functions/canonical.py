@@ -51,3 +51,16 @@ def record_id_of(canonical_text: Column) -> Column:
 
 def crc32_of(canonical_text: Column) -> Column:
     return F.crc32(F.encode(canonical_text, "UTF-8"))
+
+
+def _little(number: Column) -> Column:
+    """Four bytes, little end first."""
+    digits = F.lpad(F.hex(number.cast("bigint")), 8, "0")
+    return F.unhex(F.concat(*[F.substring(digits, k, 2) for k in (7, 5, 3, 1)]))
+
+
+def batch_frame(payload: Column, kind: Column, trust: Column) -> Column:
+    """A batch's record around its payload (text): id, kind, trust, length, CRC, payload; null for null."""
+    raw = F.encode(payload, "UTF-8")
+    # the id's bytes, little end first, are those of the digest as they stand
+    return F.concat(F.unhex(F.substring(F.sha2(raw, 256), 1, 16)), _little(kind), _little(trust), _little(F.octet_length(raw)), _little(F.crc32(raw)), raw)

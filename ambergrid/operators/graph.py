@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..sources.scratch import persist
+
 MAX_RADIUS = 3
 PREFIXES = tuple(f"{p}_" for p in ("SEED", "BRIDGE", "ROUTE", "PATTERN", "RESULTREC"))
 MAX_IDS = 20
@@ -66,21 +68,30 @@ def neighbours(edges: DataFrame, start: DataFrame, radius: int, direction: str)
     """``node`` and its least ``depth`` (0: the start) within ``radius`` steps over edges (src, dst).
 
     down: along edges. up: against them. up_down: both. lateral: nodes that share a source with
-    the node. Each round joins only the newest level with the edges and drops what is known; levels
-    are kept (memory, then disk) so that later ones don't compute them again.
+    the node; it goes by way of the distinct sources, so a hub's children aren't paired. Each round joins only
+    the newest level with the edges and drops what is known. Levels are written to the shared folder, which
+    cuts their lineage and tells the next join how large they are.
     """
-    down = edges.select("src", "dst")
-    up = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    if direction == "lateral":
-        twin = edges.select(F.col("src").alias("parent"), F.col("dst").alias("to"))
-        steps = edges.join(twin, edges["src"] == twin["parent"]).where("dst != to").select(F.col("dst").alias("src"), F.col("to").alias("dst"))
-    else:
-        steps = {"down": down, "up": up, "up_down": down.unionByName(up)}[direction]
+
+    def step(level: DataFrame, here: str, there: str) -> DataFrame:
+        return edges.join(level.withColumnRenamed("node", here), here, "left_semi").select(F.col(there).alias("node"))
+
+    def reached(level: DataFrame) -> DataFrame:
+        match direction:
+            case "down":
+                return step(level, "src", "dst")
+            case "up":
+                return step(level, "dst", "src")
+            case "up_down":
+                return step(level, "src", "dst").unionByName(step(level, "dst", "src"))
+            case "lateral":
+                return step(step(level, "dst", "src").distinct(), "src", "dst")
+        raise ValueError(f"no direction {direction}")
+
     seen = start.select("node", F.lit(0).alias("depth")).distinct()
     level = seen.select("node")
     for depth in range(1, min(radius, MAX_RADIUS) + 1):
-        reached = steps.join(level, steps["src"] == level["node"], "left_semi").select(F.col("dst").alias("node")).distinct()
-        # each level is used by all later ones; a lost block is computed again from its lineage
-        level = reached.join(seen.select("node"), "node", "left_anti").persist()
+        found = reached(level).distinct().join(seen.select("node"), "node", "left_anti")
+        level = persist(found, "level")
         seen = seen.unionByName(level.select("node", F.lit(depth).alias("depth")))
     return seen

@@ -42,9 +42,9 @@ def lookup(index: DataFrame, attribute: str, value: str) -> DataFrame:
 
 
 def find_rows(index: DataFrame, text: str) -> DataFrame | None:
-    """Rows of a FIND query in index order; None where the text is no FIND query."""
+    """Rows of a FIND query in index order (kind, position, id); None where the text is no FIND query."""
     parsed = find.parse(text)
-    return None if parsed is None else lookup(index, *parsed)
+    return None if parsed is None else lookup(index, *parsed).orderBy("source_kind", "record_index", "record_id")
 
 
 def postings(index: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import values
 from ..lang import time_filter
@@ -85,17 +85,20 @@ def run(memory: DataFrame, query: Lookup, now_ms: int, limit: int = MAX_ROWS, cl
     """The query's rows.
 
     ``rank`` counts all records of the source up to this one, filtered or not. Only the returned
-    rows need it: they are cut off first, then counted against the source's ordinals in one
-    aggregate. A row_number over everything would send the whole source to one task.
+    rows need it: they are cut off first, then each record of the source is counted once, for the first returned
+    row at or after it, and the at most MAX_ROWS counts are added up. A row_number over everything
+    would send the whole source to one task.
     """
     wanted = max(1, min(query.top or limit, limit, MAX_ROWS))
     rows = matched(memory, query, now_ms, closed_windows)
     if "rank" in memory.columns:
         return _project(rows.orderBy(ORD).limit(wanted), query)
     top = rows.orderBy(ORD).limit(wanted)
+    marks = top.agg(F.sort_array(F.collect_list(ORD)).alias("m")).scalar()  # at most MAX_ROWS numbers
     source = memory.where(source_match(memory, query.kind, query.value)).select(F.col(ORD).alias("_at"))
-    marks = F.broadcast(top.select(F.col(ORD).alias("_ord")))  # at most MAX_ROWS rows
-    ranks = source.join(marks, F.col("_at") <= F.col("_ord")).groupBy("_ord").agg(F.count("*").alias("rank"))
+    slot = F.element_at(F.filter("_m", lambda m: m >= F.col("_at")), 1).alias("_ord")
+    counted = source.withColumn("_m", marks).where(F.col("_at") <= F.array_max("_m")).groupBy(slot).agg(F.count("*").alias("n"))
+    ranks = counted.select("_ord", F.sum("n").over(Window.orderBy("_ord")).alias("rank"))
     return _project(top.join(F.broadcast(ranks), F.col(ORD) == F.col("_ord")), query)
 
 

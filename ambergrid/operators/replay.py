@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..sources.scratch import running_sums
+
 
 def transactions(log: DataFrame) -> DataFrame:
     """``tx_id``, ``intent_seq``, ``payload``, ``state`` of every transaction that has an INTENT.
@@ -34,7 +36,7 @@ def transaction_counts(log: DataFrame) -> DataFrame:
 
 def to_apply(log: DataFrame, applied: DataFrame) -> DataFrame:
     """Committed transactions whose tx_id isn't in ``applied``, in the order of their intents' seq."""
-    return transactions(log).where("state = 'committed'").join(applied.select("tx_id"), "tx_id", "left_anti")
+    return transactions(log).where("state = 'committed'").join(applied.select("tx_id"), "tx_id", "left_anti").orderBy("intent_seq")
 
 
 def next_seq(log: DataFrame) -> DataFrame:
@@ -42,7 +44,7 @@ def next_seq(log: DataFrame) -> DataFrame:
 
 
 def compact(base: DataFrame, log: DataFrame, what: str) -> DataFrame:
-    """``key`` and ``payload`` of the live seeds or bridges after the log.
+    """``key`` and ``payload`` of the live seeds or bridges after the log, unordered (``in_order`` sorts by key).
 
     base: key, payload, seq (load order; of repeated keys the last counts). log: seq, op, key,
     payload. ``UPSERT_<what>`` with a payload replaces it, ``DELETE_<what>`` removes it; upserts
@@ -59,18 +61,23 @@ def compact(base: DataFrame, log: DataFrame, what: str) -> DataFrame:
     return last.where("payload is not null")
 
 
+def in_order(live: DataFrame) -> DataFrame:
+    """Compacted rows by key, in the order of its bytes in UTF-8, which is that of code points."""
+    return live.orderBy("key")
+
+
 def with_fallback_keys(log: DataFrame, what: str) -> DataFrame:
     """Gives upserts without a key the name ``wal_seed_N``, N counting the upserts before them.
 
-    Only keyless upserts pay for the count.
+    Logs without keyless upserts pay one scan for it. Else upserts are counted over ranges of ``seq``.
     """
-    from pyspark.sql import Window
-
     op = F.upper("op") == f"UPSERT_{what}"
     valid = log.where(op & F.col("payload").isNotNull())
-    keyless = valid.where("key is null").select("seq")
-    numbered = valid.select("seq", (F.row_number().over(Window.orderBy("seq")) - 1).alias("n")).join(keyless, "seq", "left_semi")
-    named = numbered.select(F.col("seq").alias("_seq"), F.concat(F.lit(f"wal_{what.lower()}_"), F.col("n")).alias("_key"))
+    if valid.where("key is null").isEmpty():
+        return log
+    marked = valid.select("seq", F.col("key").isNull().alias("keyless"))
+    numbered = running_sums(marked, "seq", F.lit(1).cast("bigint"), "upto").where("keyless")
+    named = numbered.select(F.col("seq").alias("_seq"), F.concat(F.lit(f"wal_{what.lower()}_"), F.col("upto") - 1).alias("_key"))
     return log.join(named, log["seq"] == named["_seq"], "left").withColumn("key", F.coalesce("key", "_key")).drop("_seq", "_key")
 
 
@@ -123,14 +130,8 @@ def latency(rows: DataFrame, column: str) -> DataFrame:
 
     The p95 element is found by rank: values are counted first, so only distinct values are ordered.
     """
-    from pyspark.sql import Window
-
     values = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("x")).agg(F.count("*").alias("c"))
-    # range partitions keep the running count distributed: totals per partition, then offsets
-    split = values.repartitionByRange("x").withColumn("p", F.spark_partition_id())
-    totals = split.groupBy("p").agg(F.sum("c").alias("t"))
-    offset = totals.select("p", (F.sum("t").over(Window.orderBy("p")) - F.col("t")).alias("o"))
-    ranked = split.join(F.broadcast(offset), "p").withColumn("upto", F.col("o") + F.sum("c").over(Window.partitionBy("p").orderBy("x")))
+    ranked = running_sums(values, "x", F.col("c"), "upto")
     n = rows.agg(F.count(column).alias("n"), F.min(column).alias("min"), F.max(column).alias("max"))
     at = lambda k: F.min(F.when(F.col("upto") >= k, F.col("x")))
     half = F.col("n") / 2

@@ -84,13 +84,18 @@ def _mapped(column: str, names: dict[str, str]) -> Column:
 
 
 def tx_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("tx_id"), _mapped("event_type", _OPS).alias("op_type"), F.col("props").alias("payload"))
+    """A transaction is what a user does in a day."""
+    return _read(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), _tx_id().alias("tx_id"), _mapped("event_type", _OPS).alias("op_type"), F.col("props").alias("payload"))
+
+
+def _tx_id() -> Column:
+    return F.concat_ws(":", F.col("user_id").cast("string"), F.to_date("ts").cast("string"))
 
 
 _TX = """tx as (
-  select user_id as tx_id, max(event_id) filter (event_type = 'signup') as intent_seq, arg_max(props, event_id) filter (event_type = 'signup') as payload,
+  select user_id || ':' || cast(ts as date) as tx_id, max(event_id) filter (event_type = 'signup') as intent_seq, arg_max(props, event_id) filter (event_type = 'signup') as payload,
     case when bool_or(event_type = 'error') then 'aborted' when bool_or(event_type = 'purchase') then 'committed' else 'pending' end as state
-  from events group by user_id having max(event_id) filter (event_type = 'signup') is not null)"""
+  from events group by user_id, cast(ts as date) having max(event_id) filter (event_type = 'signup') is not null)"""
 
 
 def change_log(spark: SparkSession, sf_dir: str, what: str, column: str) -> DataFrame:
@@ -237,7 +242,7 @@ def _pack_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _applied(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("tx_id"))
+    return _read(spark, sf_dir, "events").where("event_type = 'click'").select(_tx_id().alias("tx_id"))
 
 
 def _tx(state: str) -> Query:
@@ -295,9 +300,9 @@ _CATALOGUE: dict[str, tuple[Query, str | None]] = {
     "wal_pending": (_tx("pending"), f"with {_TX} select * from tx where state = 'pending'"),
     "wal_aborted": (_tx("aborted"), f"with {_TX} select * from tx where state = 'aborted'"),
     "wal_tx_counts": (lambda spark, sf_dir: replay.transaction_counts(tx_log(spark, sf_dir)), f"with {_TX} select " + ", ".join(f"count(*) filter (state = '{s}') as {s}_count" for s in ("committed", "pending", "aborted")) + " from tx"),
-    "wal_apply_new_only": (lambda spark, sf_dir: replay.to_apply(tx_log(spark, sf_dir), _applied(spark, sf_dir)), f"with {_TX} select * from tx where state = 'committed' and tx_id not in (select c_custkey from customer where c_acctbal > 0)"),
+    "wal_apply_new_only": (lambda spark, sf_dir: replay.to_apply(tx_log(spark, sf_dir), _applied(spark, sf_dir)), f"with {_TX} select * from tx where state = 'committed' and tx_id not in (select user_id || ':' || cast(ts as date) from events where event_type = 'click')"),
     "wal_next_seq": (lambda spark, sf_dir: replay.next_seq(tx_log(spark, sf_dir)), "select coalesce(max(event_id), 0) + 1 as next_seq from events"),
-    "wal_compact_seeds": (lambda spark, sf_dir: replay.compact(_seeds(spark, sf_dir), change_log(spark, sf_dir, "SEED", "user_id"), "SEED"), _compact_sql("select cast(c_custkey as varchar) as key, c_custkey as seq, c_name as payload from customer", "user_id")),
+    "wal_compact_seeds": (lambda spark, sf_dir: replay.in_order(replay.compact(_seeds(spark, sf_dir), change_log(spark, sf_dir, "SEED", "user_id"), "SEED")), _compact_sql("select cast(c_custkey as varchar) as key, c_custkey as seq, c_name as payload from customer", "user_id")),
     "wal_compact_bridges": (lambda spark, sf_dir: replay.compact(_bridges(spark, sf_dir), change_log(spark, sf_dir, "BRIDGE", "event_type"), "BRIDGE"), _compact_sql("select s_name as key, s_suppkey as seq, cast(s_nationkey as varchar) as payload from supplier", "event_type")),
     "wal_replay_stats": (
         lambda spark, sf_dir: replay.replay_stats(change_log(spark, sf_dir, "SEED", "user_id")),
@@ -311,7 +316,7 @@ _CATALOGUE: dict[str, tuple[Query, str | None]] = {
     "seed_search_exact": (_search("src3"), _search_sql("src3")),
     "path_concat_union": (_paths, "select 'region:' || r_regionkey as pointer, r_name as name from region union all select 'nation:' || n_nationkey, n_name from nation"),
     "record_ids_sha256": (_ids, """select n_nationkey, canonical, substr(sha256(canonical), 1, 16) as id_hex from (select n_nationkey, '{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}' as canonical from nation)"""),
-    "record_ids_crc32": (_crcs, None),
+    "record_ids_crc32": (_crcs, None),  # its SQL is in round_trips
     "history_query_hash": (_hashes, f"select event_id, sha256(trim(regexp_replace(props, '\\s+', ' ', 'g')) || chr(10) || '{history.VERSION}') as query_hash from events"),
     "history_keep_newest": (lambda spark, sf_dir: replay.keep_newest(_read(spark, sf_dir, "events").select("event_id", "ts", "user_id"), 1000, "ts", "event_id"), "select event_id, ts, user_id from events order by ts desc, event_id desc limit 1000"),
     "latency_percentiles": (lambda spark, sf_dir: replay.latency(_read(spark, sf_dir, "events"), "value"), "select quantile_cont(value, 0.5) as p50, list_sort(list(value))[greatest(1, count(*) * 95 // 100)] as p95, min(value) as min, max(value) as max from events"),

@@ -17,6 +17,7 @@ from ..lang.bql import Lookup
 from ..lang.errors import code_of
 from ..operators import lookup
 from ..sources import records
+from ..sources.scratch import discard, persist
 from . import history
 
 VERSION, CONTRACT = "V03G8_TS_INDEX_FOR_TIME_FILTER", "V03H4B_TARGET_STATE_BQL_COMPAT"
@@ -71,7 +72,8 @@ def _json_rows(memory: DataFrame, query: Lookup, now_ms: int, limit: int) -> lis
 class Session:
     """Runs queries against memories: a path of JSON files, or a DataFrame with ``ord``.
 
-    Memories by path are read once and kept, so they must not change; ``forget`` drops them.
+    Memories by path are read once and kept as tables in the shared folder, so they must not change;
+    ``forget`` drops them.
     """
 
     def __init__(self, spark: SparkSession, now: Callable[[], int] = lambda: int(time.time() * 1000)):
@@ -85,12 +87,12 @@ class Session:
         key = str(source)
         self.stats["cache_hits" if key in self._kept else "cache_misses"] += 1
         if key not in self._kept:
-            self._kept[key] = records.read_json(self.spark, key).cache()
+            self._kept[key] = persist(records.read_json(self.spark, key), "memory")
         return self._kept[key]
 
     def forget(self) -> None:
         while self._kept:
-            self._kept.popitem()[1].unpersist()
+            discard(self._kept.popitem()[1])
 
     def rows(self, text: str, source: str | DataFrame, max_results: int = lookup.MAX_ROWS) -> DataFrame:
         """The result as a DataFrame, for a memory with typed columns."""

@@ -2,15 +2,18 @@
 
 Three layouts of JSON records: ``seed``, ``bridge`` and ``log`` files with a fixed header and
 CRC-checked records; an append-only typed store; a transaction log. Frames have no sync marks, so
-a file is one partition; many files are read in parallel.
+a file is one partition; many files are read in parallel. Local files are mapped, not loaded, so that a
+task holds one frame of a file at a time. Paths may be of any file system that pyarrow knows.
 """
 
 from __future__ import annotations
 
-import glob
+import fnmatch
 import hashlib
 import json
+import mmap
 import os
+import posixpath
 import struct
 import time
 import zlib
@@ -18,7 +21,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import NamedTuple
 
-from pyspark.sql import SparkSession
+import pyarrow.fs
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..functions.canonical import canonical, crc32, record_id
@@ -212,6 +216,43 @@ def verify_file(path: str, kind: str | None = None) -> dict:
     return {"path": path, "record_count": sum(1 for _ in decode_file(data, kind)), "sha256": hashlib.sha256(data).hexdigest()}
 
 
+def create_seed(path: str, seed_id: str, seed_type: str, data: dict, status: str = "OBSERVED") -> dict:
+    return append_entry(path, STORE, "SEED", {"seed_id": seed_id, "seed_type": seed_type, "status": status, "data": data})
+
+
+def create_bridge(path: str, bridge_id: str, ends: tuple[str, str], bridge_type: str, data: dict | None = None, status: str = "OBSERVED") -> dict:
+    """ends: the seeds it comes from and goes to."""
+    link = dict(zip(("from_seed", "to_seed"), ends, strict=True))
+    return append_entry(path, STORE, "BRIDGE", {"bridge_id": bridge_id, "bridge_type": bridge_type, "status": status, "data": data or {}} | link)
+
+
+def create_route(path: str, route_id: str, steps: list[dict], status: str = "OBSERVED") -> dict:
+    return append_entry(path, STORE, "ROUTE", {"route_id": route_id, "steps": steps, "status": status})
+
+
+def create_result(path: str, result_id: str, result_status: str, evidence: dict) -> dict:
+    return append_entry(path, STORE, "RESULT", {"result_id": result_id, "result_status": result_status, "evidence": evidence})
+
+
+def begin(path: str, tx_id: str, action: str, data: dict, target: str | None = None) -> dict:
+    """Log the intent of a transaction."""
+    where = {"target_path": str(target)} if target else {}
+    return append_entry(path, LOG, "INTENT", {"tx_id": tx_id, "action": action, "data": data} | where)
+
+
+def commit(path: str, tx_id: str) -> dict:
+    return append_entry(path, LOG, "COMMIT", {"tx_id": tx_id})
+
+
+def abort(path: str, tx_id: str, reason: str = "") -> dict:
+    return append_entry(path, LOG, "ABORT", {"tx_id": tx_id, "reason": reason})
+
+
+def payload_bytes(records: DataFrame, column: str = "payload") -> DataFrame:
+    """``n_records`` and ``n_bytes`` of a batch's payloads (text or binary; null: none)."""
+    return records.agg(F.count("*").alias("n_records"), F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).cast("bigint").alias("n_bytes"))
+
+
 def append_entry(path: str, layout: Layout, kind: str, payload: dict, timestamp_ms: int | None = None) -> dict:
     """Validate, frame and append one entry, durably; a log's seq is one more than its highest.
 
@@ -250,12 +291,32 @@ class _File(InputPartition):
     path: str
 
 
+def _store(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    if "://" not in path and not path.startswith("file:"):
+        return pyarrow.fs.LocalFileSystem(), os.path.abspath(path)
+    return pyarrow.fs.FileSystem.from_uri("file://" + path.removeprefix("file:") if path.startswith("file:") and "://" not in path else path)
+
+
+def _content(fs: pyarrow.fs.FileSystem, path: str):
+    """A file's bytes, mapped where that can be."""
+    if isinstance(fs, pyarrow.fs.LocalFileSystem) and os.path.getsize(path):
+        with open(path, "rb") as file:
+            return mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
+    with fs.open_input_stream(path) as file:
+        return file.read()
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        path, self.layout = options["path"].removeprefix("file://"), options.get("layout", "file")
-        self.kind = options.get("kind")
-        self.files = sorted(glob.glob(os.path.join(path, "**", "*"), recursive=True)) if os.path.isdir(path) else sorted(glob.glob(path))
-        self.files = [f for f in self.files if os.path.isfile(f) and not os.path.basename(f).startswith(("_", "."))]
+        self.path, self.layout, self.kind = options["path"], options.get("layout", "file"), options.get("kind")
+        fs, path = _store(self.path)
+        if fs.get_file_info(path).type == pyarrow.fs.FileType.Directory:
+            found = fs.get_file_info(pyarrow.fs.FileSelector(path, recursive=True))
+        else:  # one file, or a pattern of names in a folder
+            found = fs.get_file_info(pyarrow.fs.FileSelector(posixpath.dirname(path), allow_not_found=True))
+            found = [f for f in found if f.path == path or fnmatch.fnmatchcase(f.base_name, posixpath.basename(path))]
+        self.files = sorted(f.path for f in found if f.is_file and not f.base_name.startswith(("_", ".")))
 
     def partitions(self) -> list[InputPartition]:
         return [_File(f) for f in self.files] or [_File("")]
@@ -263,8 +324,7 @@ class _Reader(DataSourceReader):
     def read(self, partition: _File) -> Iterator[tuple]:
         if not partition.path:
             return
-        with open(partition.path, "rb") as file:
-            data = file.read()
+        data = _content(_store(self.path)[0], partition.path)
         if self.layout == "file":
             for i, (rid, crc, raw) in enumerate(decode_file(data, self.kind)):
                 yield partition.path, i, str(rid), crc, raw.decode()
@@ -280,37 +340,52 @@ class _Written(WriterCommitMessage):
 
 
 class _Writer(DataSourceWriter):
-    """A file per task, written aside and renamed at commit, so that a lost or repeated task leaves no half of one."""
+    """A file per task, written aside and renamed at commit, so that a lost or repeated task leaves no half of one.
 
-    def __init__(self, options: dict):
-        self.path, self.kind = options["path"].removeprefix("file://"), options.get("kind", "seed")
+    Entries are written as they come; the header of a ``file`` holds the number of its records, so its
+    records are encoded before.
+    """
+
+    def __init__(self, options: dict, columns: list[str]):
+        self.path, self.layout, self.columns = options["path"], options.get("layout", "file"), columns
+        self.kind = options.get("kind", "seed") if self.layout == "file" else self.layout
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
         from pyspark import TaskContext
 
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
-        os.makedirs(self.path, exist_ok=True)
-        temporary = os.path.join(self.path, f"_{part}-{attempt}.tmp")
-        with open(temporary, "wb") as file:
-            file.write(encode_file(self.kind, [json.loads(r[0]) for r in rows]))
-        return _Written(temporary, os.path.join(self.path, f"part-{part:05}.{self.kind}"))
+        fs, folder = _store(self.path)
+        fs.create_dir(folder, recursive=True)
+        temporary = posixpath.join(folder, f"_{part}-{attempt}.tmp")
+        with fs.open_output_stream(temporary) as file:
+            if self.layout == "file":
+                file.write(encode_file(self.kind, [json.loads(r[0]) for r in rows]))
+            else:
+                layout = STORE if self.layout == "store" else LOG
+                for r in rows:
+                    entry = dict(zip(self.columns, r, strict=True))
+                    file.write(encode_entry(layout, entry["type"], json.loads(entry["payload"]), entry["timestamp_ms"], entry["seq"] if layout.has_seq else None))
+        return _Written(temporary, posixpath.join(folder, f"part-{part:05}.{self.kind}"))
 
     def commit(self, messages: list) -> None:
+        fs, _ = _store(self.path)
         for m in messages:
             if m is not None:
-                os.replace(m.temporary, m.final)
+                fs.move(m.temporary, m.final)
 
     def abort(self, messages: list) -> None:
+        fs, _ = _store(self.path)
         for m in messages:
-            if m is not None and os.path.exists(m.temporary):
-                os.remove(m.temporary)
+            if m is not None and fs.get_file_info(m.temporary).is_file:
+                fs.delete_file(m.temporary)
 
 
 class FrameSource(DataSource):
     """``format("frames")``. Options: path; layout file, store or log; kind seed, bridge or log.
 
     Files give (path, record_index, record_id, crc32, payload), logs and stores (path, record_index,
-    offset, type, timestamp_ms, seq, payload). Writes rows of one column of JSON text.
+    offset, type, timestamp_ms, seq, payload). Writes files from rows of one column of JSON text, stores and logs
+    from rows with type, timestamp_ms, payload (JSON text) and, for logs, seq.
     """
 
     @classmethod
@@ -326,7 +401,7 @@ class FrameSource(DataSource):
         return _Reader(self.options)
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _Writer(self.options)
+        return _Writer(self.options, schema.names)
 
 
 def register(spark: SparkSession) -> None:

@@ -34,17 +34,27 @@ def _files(spark: SparkSession, root: str) -> list[tuple[str, bool]]:
     return sorted(found, key=lambda x: (not x[1], x[0]))
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
+def _numbered(rows: DataFrame, within: str | None = None) -> DataFrame:
     """Dense positions of rows (file_no, block, at): counts per block give the offsets, no global sort.
 
-    There are as many blocks as input splits, so the offsets are a small table.
+    There are as many blocks as input splits, so the offsets are a small table. within: count anew for each of its values.
     """
-    blocks = rows.groupBy("file_no", "block").agg(F.count("*").alias("n"))
-    before = blocks.select("file_no", "block", (F.sum("n").over(Window.orderBy("file_no", "block")) - F.col("n")).alias("before"))
+    group = [within] if within else []
+    blocks = rows.groupBy(*group, "file_no", "block").agg(F.count("*").alias("n"))
+    before = blocks.select("file_no", "block", (F.sum("n").over(Window.partitionBy(*group).orderBy("file_no", "block")) - F.col("n")).alias("before"))
     inside = F.row_number().over(Window.partitionBy("file_no", "block").orderBy("at")) - 1
     return rows.withColumn("inside", inside).join(before, ["file_no", "block"]).withColumn("ord", F.col("before") + F.col("inside"))
 
 
+def _lines(spark: SparkSession, paths: list[str], whole: bool = False, separator: str | None = None) -> DataFrame:
+    """``file_no`` (place in ``paths``), ``block``, ``at`` and ``value`` of all lines, or whole texts; without byte order marks."""
+    reader = spark.read.option("lineSep", separator) if separator else spark.read
+    text = reader.text(paths, wholetext=whole).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    text = text.withColumn("value", F.regexp_replace("value", "^\ufeff", "")).withColumn("path", F.regexp_replace("path", "^file:/+", "file:/"))
+    table = spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "path string, file_no int").withColumn("path", F.regexp_replace("path", "^file:/+", "file:/"))
+    return text.join(table, "path").select("file_no", "block", "at", "value")  # Spark broadcasts the list of files if it is small
+
+
 def read_json(spark: SparkSession, root: str) -> DataFrame:
     """``ord`` and ``raw`` (JSON text) of every object under ``root``.
 
@@ -55,21 +65,16 @@ def read_json(spark: SparkSession, root: str) -> DataFrame:
     files = _files(spark, root)
     empty = spark.createDataFrame([], "file_no int, block bigint, at bigint, raw string")
     parts = empty
-    number = lambda col, paths: F.element_at(F.create_map(*[F.lit(x) for p, i in paths for x in (p, i)]), col)
     for lines in (True, False):
-        paths = [(p, i) for i, (p, kind) in enumerate(files) if kind == lines]
+        paths = [p for p, kind in files if kind == lines]
         if not paths:
             continue
-        table = spark.createDataFrame(paths, "path string, file_no int")
-        text = spark.read.text([p for p, _ in paths], wholetext=not lines).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-        text = text.withColumn("value", F.regexp_replace("value", "^﻿", "")).withColumn("path", F.regexp_replace("path", "^file:/+", "file:/"))
-        table = table.withColumn("path", F.regexp_replace("path", "^file:/+", "file:/"))
+        text = _lines(spark, paths, whole=not lines)
         if lines:
-            rows = text.select("path", "block", "at", F.trim("value").alias("raw"))
-        else:
-            rows = text.select("path", "block", F.posexplode(_items("value")).alias("at", "raw")).withColumn("at", F.col("at").cast("bigint"))
-        rows = rows.where(F.schema_of_variant(F.try_parse_json("raw")).startswith("OBJECT"))
-        parts = parts.unionByName(rows.join(F.broadcast(table), "path").select("file_no", "block", "at", "raw"))
+            rows = text.select("file_no", "block", "at", F.trim("value").alias("raw"))
+        else:  # documents come after all lines
+            rows = text.select((F.col("file_no") + len(files) - len(paths)).alias("file_no"), "block", F.posexplode(_items("value")).alias("at", "raw")).withColumn("at", F.col("at").cast("bigint"))
+        parts = parts.unionByName(rows.where(F.schema_of_variant(F.try_parse_json("raw")).startswith("OBJECT")))
     return _numbered(parts).select("ord", "raw")
 
 
@@ -115,24 +120,27 @@ def read_packs(spark: SparkSession, root: str, packs: tuple[str, ...] = PACKS) -
     """Records of pack files (JSON lines), and a report per pack.
 
     Records: ``ord, pointer`` (pack:line, lines from 1), ``pack, line, record_id, raw, strings``. A
-    pack lies in root, root/PACKS or root/packs. The record id is the first of the identifying keys
+    pack lies in root, root/PACKS or root/packs; it may be a folder of files, whose lines follow each other in the
+    order of their names. Large files are split over tasks. The record id is the first of the identifying keys
     with text in it, else the pointer. Report: ``pack``, ``records``, ``bad_lines`` (null: no such pack).
     """
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    there = {}
+    files: list[tuple[str, str]] = []
     for pack in packs:
         for place in (root, f"{root}/PACKS", f"{root}/packs"):
             path = jvm.org.apache.hadoop.fs.Path(place, pack)
-            if path.getFileSystem(conf).exists(path):
-                there[pack] = path.toString()
+            fs = path.getFileSystem(conf)
+            if fs.exists(path):
+                inside = sorted(s.getPath().toString() for s in fs.listStatus(path) if s.isFile() and not s.getPath().getName().startswith(("_", ".")))
+                files += [(pack, f) for f in inside]
                 break
-    lines = spark.createDataFrame([], "pack_no int, pack string, line int, raw string")
-    for no, pack in enumerate(packs):
-        if pack in there:
-            whole = spark.read.format("binaryFile").load(there[pack]).select(F.decode("content", "UTF-8").alias("text"))
-            each = whole.select(F.posexplode(F.split(F.regexp_replace("text", "^﻿", ""), "\n")).alias("line", "raw"))
-            lines = lines.unionByName(each.select(F.lit(no).alias("pack_no"), F.lit(pack).alias("pack"), (F.col("line") + 1).alias("line"), F.trim("raw").alias("raw")))
+    if files:
+        owner = spark.createDataFrame([(i, packs.index(p), p) for i, (p, _) in enumerate(files)], "file_no int, pack_no int, pack string")
+        text = _lines(spark, [f for _, f in files], separator="\n").join(owner, "file_no")
+        lines = _numbered(text, "pack_no").select("pack_no", "pack", (F.col("ord") + 1).cast("int").alias("line"), F.trim(F.regexp_replace("value", "\r$", "")).alias("raw"))
+    else:
+        lines = spark.createDataFrame([], "pack_no int, pack string, line int, raw string")
     lines = lines.where("raw != ''").withColumn("json", F.try_parse_json("raw"))
     report = spark.createDataFrame([(p,) for p in packs], "pack string").join(lines.groupBy("pack").agg(F.count("json").alias("records"), F.count_if(F.col("json").isNull()).alias("bad_lines")), "pack", "left")
     ids = [F.when(F.schema_of_variant(F.try_variant_get("json", f"$.{k}", "variant")) == "STRING", F.nullif(F.try_variant_get("json", f"$.{k}", "string"), F.lit(""))) for k in PACK_IDS]

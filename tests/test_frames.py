@@ -1,9 +1,11 @@
 import json
 import os
+import pathlib
 
 import pytest
+from pyspark.sql import functions as F
 
-from ambergrid.functions.canonical import canonical
+from ambergrid.functions.canonical import batch_frame, canonical
 from ambergrid.operators import snapshots
 from ambergrid.sources import frames
 
@@ -56,6 +58,50 @@ def test_data_source(spark, tmp_path):
     assert [(r["type"], r["seq"]) for r in log.collect()] == [("CHECKPOINT", 1)]
 
 
+def test_stores_and_logs_round_trip(spark, tmp_path):
+    frames.register(spark)
+    entries = [("INTENT", 5, 1, {"tx_id": "a", "action": "x"}), ("COMMIT", 6, 2, {"tx_id": "a"}), ("CHECKPOINT", 7, 3, {})]
+    df = spark.createDataFrame([(*e[:3], json.dumps(e[3])) for e in entries], "type string, timestamp_ms long, seq long, payload string")
+    for layout in ("log", "store"):
+        out = f"file://{tmp_path}/{layout}"
+        rows = df if layout == "log" else df.drop("seq").selectExpr("case type when 'INTENT' then 'SEED' when 'COMMIT' then 'route' else 'META' end as type", "timestamp_ms", "payload")
+        rows.write.format("frames").mode("append").option("path", out).option("layout", layout).save()
+        back = spark.read.format("frames").option("path", out).option("layout", layout).load().orderBy("timestamp_ms").collect()
+        assert [(r["timestamp_ms"], r["seq"], json.loads(r["payload"])) for r in back] == [(t, s if layout == "log" else None, p) for _, t, s, p in entries]
+    assert [r["type"] for r in back] == ["SEED", "ROUTE", "META"]
+    named = spark.read.format("frames").option("path", f"{tmp_path}/log/part-*.log").option("layout", "log").load()
+    assert named.count() == 3 and spark.read.format("frames").option("path", str(tmp_path / "none")).load().count() == 0
+
+
+def test_creators_and_transactions(tmp_path):
+    path = str(tmp_path / "s")
+    frames.create_seed(path, "s", "T", {"a": 1})
+    frames.create_bridge(path, "b", ("s", "t"), "LINK")
+    frames.create_route(path, "r", [{"to": "s"}])
+    frames.create_result(path, "x", "GOOD", {})
+    entries = list(frames.decode_entries(frames.STORE, (tmp_path / "s").read_bytes()))
+    assert [e.type for e in entries] == ["SEED", "BRIDGE", "ROUTE", "RESULT"] and all(json.loads(e.payload)["status"] == "OBSERVED" for e in entries)
+    bridge = json.loads(entries[1].payload)
+    assert (bridge["from_seed"], bridge["to_seed"], bridge["data"]) == ("s", "t", {})
+    with pytest.raises(frames.FrameError):
+        frames.create_seed(path, " ", "T", {})
+    log = str(tmp_path / "l")
+    frames.begin(log, "1", "append_record", {}, "there")
+    frames.commit(log, "1")
+    frames.begin(log, "2", "append_record", {})
+    frames.abort(log, "2", "why")
+    entries = list(frames.decode_entries(frames.LOG, (tmp_path / "l").read_bytes()))
+    assert [(e.type, e.seq) for e in entries] == [("INTENT", 1), ("COMMIT", 2), ("INTENT", 3), ("ABORT", 4)]
+    assert json.loads(entries[0].payload)["target_path"] == "there" and json.loads(entries[3].payload)["reason"] == "why"
+
+
+def test_batches_are_framed_alike_in_columns(spark):
+    rows = [("{}", 1, 2), ('{"a":"é"}', 0, 2**31), (None, 1, 1), ("", 3, 4)]
+    df = spark.createDataFrame(rows, "p string, k long, t long")
+    got = [r[0] for r in df.select(batch_frame(F.col("p"), F.col("k"), F.col("t"))).collect()]
+    assert [None if x is None else bytes(x) for x in got] == [None if p is None else frames.encode_batch_record(p.encode(), k, t) for p, k, t in rows]
+
+
 def test_index_blob_and_batch():
     payload = {"record_count": 1, "records": [{"record_id": 15876355370403767239}]}
     assert frames.decode_index(frames.encode_index(payload, 1)) == payload
@@ -73,7 +119,7 @@ def test_snapshots_fall_back(tmp_path):
     snapshots.commit(tmp_path, 2, [seed] * 3, [])
     found = snapshots.recover(tmp_path)
     assert found["recovered_version"] == 2 and found["index"]["seed_count"] == 3 and found["index"]["types"] == ["T"]
-    bad = snapshots.folder(tmp_path, 2) / "snapshot.bseed"
+    bad = pathlib.Path(snapshots.folder(tmp_path, 2)) / "snapshot.bseed"
     bad.write_bytes(bad.read_bytes()[:-1] + b"!")
     found = snapshots.recover(tmp_path)
     assert found["recovered_version"] == 1 and len(found["fallback_errors"]) == 1
