@@ -60,4 +60,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_top_k": search.ORACLE_SQL}
+    return {"op5_exact_top_k": search.ORACLE_SQL, "op10_sharding": sharding.ORACLE_SQL}

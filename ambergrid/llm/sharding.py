@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SLOTS = 4096
+#: Shards of the first map and of the edited one, and the share above the mean that a shard may hold.
+SHARDS, GROWN, SLACK = 16, 20, 0.02
 
 
 def slot_of(key: F.Column, slots: int = SLOTS) -> F.Column:
@@ -38,7 +40,7 @@ def initial_map(sizes: pd.DataFrame, shards: int) -> pd.DataFrame:
     return pd.DataFrame({"slot": sorted(out), "shard": [out[s] for s in sorted(out)]})
 
 
-def rebalance(sizes: pd.DataFrame, current: pd.DataFrame, shards: int, slack: float = 0.02) -> pd.DataFrame:
+def rebalance(sizes: pd.DataFrame, current: pd.DataFrame, shards: int, slack: float = SLACK) -> pd.DataFrame:
     """An edited map for ``shards`` shards.
 
     Slots of shards that no longer exist are homeless. Then, while a shard holds more than the mean
@@ -96,7 +98,7 @@ def assign(docs: DataFrame, slot_map: DataFrame, id_col: str = "doc_id", slots:
     return keyed.join(F.broadcast(slot_map), "slot", "left").select(id_col, "slot", "shard", "version")
 
 
-def shard_documents(docs: DataFrame, path: str, shards: int = 16, grown: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_documents(docs: DataFrame, path: str, shards: int = SHARDS, grown: int = GROWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Store version 1 of the map for ``shards`` shards and version 2, edited for ``grown``; assign by the newest.
 
     ``id_col``, ``slot``, ``shard``, ``version``, and ``previous_shard`` as of version 1. An empty
@@ -111,3 +113,36 @@ def shard_documents(docs: DataFrame, path: str, shards: int = 16, grown: int = 2
     now = read_map(spark, path).join(F.broadcast(before), "slot")
     keyed = docs.select(F.col(id_col), slot_of(F.col(id_col)).alias("slot"))
     return keyed.join(F.broadcast(now), "slot", "left").select(id_col, "slot", "shard", "previous_shard", "version")
+
+
+#: Slots of documents, dealt out and rebalanced as above; the three recursions take one slot at a time.
+ORACLE_SQL = f"""
+with recursive sizes as (
+  select s.slot, coalesce(n_bytes, 0) as n_bytes
+  from (select unnest(range({SLOTS})) as slot) s
+  left join (select cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 8) as ubigint) % {SLOTS} as slot, cast(sum(strlen(coalesce(text, ''))) as bigint) as n_bytes from documents group by all) u on u.slot = s.slot),
+dealt as materialized (select list(n_bytes order by n_bytes desc, slot) as n, list(slot order by n_bytes desc, slot) as slots from sizes),
+first_deal(i, held, counts, shard) as (
+  select 0, list_transform(range({SHARDS}), lambda x: cast(0 as bigint)), list_transform(range({SHARDS}), lambda x: cast(0 as bigint)), cast(null as bigint)
+  union all
+  select i + 1, list_transform(range({SHARDS}), lambda x: held[x + 1] + case when x = pick then n[i + 1] else 0 end), list_transform(range({SHARDS}), lambda x: counts[x + 1] + case when x = pick then 1 else 0 end), pick
+  from (select *, list_sort(list_transform(range({SHARDS}), lambda x: {{'a': held[x + 1], 'b': counts[x + 1], 'c': x}}))[1].c as pick from first_deal, dealt where i < {SLOTS})),
+before as materialized (select slots[i] as slot, n[i] as n_bytes, shard as previous_shard from first_deal, dealt where i > 0),
+mean as materialized (select cast(sum(n_bytes) as double) / {GROWN} as mean from sizes),
+piles as materialized (select previous_shard as pile, list(slot order by n_bytes desc, slot) as slots, list(n_bytes order by n_bytes desc, slot) as n, cast(sum(n_bytes) as bigint) as total from before where n_bytes > 0 group by all),
+given(pile, i, held, goes) as (
+  select pile, 0, total, false from piles
+  union all
+  select pile, i + 1, held - case when leaves then n[i + 1] else 0 end, leaves
+  from (select g.pile, g.i, g.held, p.n, g.held > mean * (1 + {SLACK}) and g.held - p.n[g.i + 1] >= mean as leaves from given g join piles p on p.pile = g.pile, mean where g.i < len(p.n))),
+homeless as materialized (select list(slots[i] order by n[i] desc, slots[i]) as slots, list(n[i] order by n[i] desc, slots[i]) as n from given join piles using (pile) where goes),
+loads as materialized (select list(coalesce(held, 0) order by x) as held from (select unnest(range({GROWN})) as x) left join (select pile, min(held) as held from given group by pile) on pile = x),
+second_deal(i, held, shard) as (
+  select 0, held, cast(null as bigint) from loads
+  union all
+  select i + 1, list_transform(range({GROWN}), lambda x: held[x + 1] + case when x = pick then n[i + 1] else 0 end), pick
+  from (select d.i, d.held, h.n, list_sort(list_transform(range({GROWN}), lambda x: {{'a': d.held[x + 1], 'c': x}}))[1].c as pick from second_deal d, homeless h where d.i < coalesce(len(h.n), 0))),
+moved as materialized (select slots[i] as slot, shard from second_deal, homeless where i > 0)
+select doc_id, cast(slot as integer) as slot, cast(coalesce(m.shard, b.previous_shard) as integer) as shard, cast(b.previous_shard as integer) as previous_shard, 2 as version
+from (select doc_id, cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 8) as ubigint) % {SLOTS} as slot from documents) d join before b using (slot) left join moved m using (slot)
+"""

@@ -487,6 +487,10 @@ def test_shards_are_level_and_few_slots_move(spark, sf_dir, docs):
     assert set(shrunk.shard) == set(range(18)) and (grown.shard != shrunk.shard).mean() < 0.2
 
 
+def test_assignment_equals_sql(spark, sf_dir):
+    assert_same(queries.op10_sharding(spark, sf_dir), tables(sf_dir), queries.oracle_sql()["op10_sharding"])
+
+
 def test_slot_bytes_and_versions(spark, awkward, nothing):
     con = duckdb.connect()
     frame = pd.DataFrame([(r["doc_id"], r["text"]) for r in awkward.collect()], columns=["doc_id", "text"]).astype({"doc_id": "Int64"})
