@@ -13,6 +13,7 @@ laid out by aggregates and running sums over ranges of them, and fill their regi
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,10 +26,15 @@ from .store import discard, persist
 
 WINDOW = 2048
 DIM, K = 16, 8
-#: Nodes per cell on average, and per region at most (they bound the memory of a task).
+#: Nodes per cell on average in small tables (see ``cells_for``), and per region at most (which bounds the memory of a task).
 CELL, REGION = 1_000, 65_536
 
 
+def cells_for(n: int) -> int:
+    """Cells for n nodes: about n / CELL, and 3 * sqrt(n) for very many, so that centroids and work grow as a root of n."""
+    return max(1, round(n / (CELL + math.sqrt(n) / 3)))
+
+
 def embed(docs: DataFrame, id_col: str, text_col: str, size_col: str | None = None) -> DataFrame:
     """``id``, ``n`` (words, or ``size_col``), ``node`` and ``v``: the projection, scaled to length one; zero for texts without words."""
 
@@ -94,11 +100,12 @@ def walk(degree: np.ndarray, begin: np.ndarray, to: np.ndarray, cell: np.ndarray
     return out
 
 
-def merge_cells(sizes: np.ndarray, pairs: list[tuple[int, int, int]], limit: int) -> np.ndarray:
+def merge_cells(sizes: np.ndarray, edges: np.ndarray, one: np.ndarray, two: np.ndarray, limit: int) -> np.ndarray:
     """A region for each cell: cells joined by the most edges first, while a region holds at most ``limit`` nodes.
 
-    pairs: (edges, cell, cell).
+    edges: how many join cells ``one`` and ``two``.
     """
+    order = np.lexsort((two, one, -edges))
     root, held = list(range(len(sizes))), sizes.astype(np.int64).tolist()
 
     def find(x: int) -> int:
@@ -107,7 +114,7 @@ def merge_cells(sizes: np.ndarray, pairs: list[tuple[int, int, int]], limit: int
             x = root[x]
         return x
 
-    for _, a, b in sorted(pairs, key=lambda p: (-p[0], p[1], p[2])):
+    for a, b in zip(one[order].tolist(), two[order].tolist(), strict=True):
         a, b = sorted((find(a), find(b)))
         if a != b and held[a] + held[b] <= limit:
             root[b], held[a] = a, held[a] + held[b]
@@ -132,8 +139,11 @@ def place(nodes: DataFrame, edges: DataFrame, centroids: np.ndarray) -> tuple[Da
     sizes = np.zeros(len(centroids), np.int64)
     for r in celled.groupBy("cell").count().collect():  # a row per cell, as many as there are centroids
         sizes[r["cell"]] = r["count"]
-    pairs = joined.where("cell_a < cell_b").groupBy("cell_a", "cell_b").count().collect()
-    region = merge_cells(sizes, [(r["count"], r["cell_a"], r["cell_b"]) for r in pairs], REGION)
+    held = spark.createDataFrame(list(enumerate(sizes.tolist())), "cell bigint, held bigint")
+    side = lambda x: F.broadcast(held.select(F.col("cell").alias(f"cell_{x}"), F.col("held").alias(f"held_{x}")))
+    # only cells that fit into a region together
+    pairs = joined.where("cell_a < cell_b").groupBy("cell_a", "cell_b").count().join(side("a"), "cell_a").join(side("b"), "cell_b").where(F.col("held_a") + F.col("held_b") <= REGION).select("count", "cell_a", "cell_b").toArrow()
+    region = merge_cells(sizes, *(pairs[c].to_numpy() for c in ("count", "cell_a", "cell_b")), REGION)
     parts = np.ones(int(region.max()) + 1, np.int64)
     np.maximum.at(parts, region, -(-sizes // REGION))
     first = np.cumsum(parts) - parts
@@ -218,7 +228,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     if not n:
         return docs.sparkSession.createDataFrame([], f"window_id bigint, position int, `{id_col}` {kind}, start_token bigint, end_token bigint")
     vecs = nodes.select("id", "v")
-    centroids = ivf.coarse(vecs, max(1, round(n / CELL)), DIM)
+    centroids = ivf.coarse(vecs, cells_for(n), DIM)
     edges = persist(graph(vecs, centroids, ivf.probes_needed(vecs, centroids, K, DIM, target)), "graph")
     placed, linked = place(nodes, edges, centroids)
     order = persist(ordered(placed, linked, centroids), "order")

@@ -308,9 +308,14 @@ def test_walk_takes_the_lowest_degree_and_the_nearest_start():
 
 
 def test_regions_follow_the_edges():
-    got = packing.merge_cells(np.array([10, 10, 10, 10]), [(5, 0, 1), (9, 0, 3), (8, 1, 2), (7, 0, 2)], 20)
+    got = packing.merge_cells(np.array([10, 10, 10, 10]), *np.array([(5, 0, 1), (9, 0, 3), (8, 1, 2), (7, 0, 2)]).T, 20)
     assert got[0] == got[3] != got[1] == got[2]
-    assert len(set(packing.merge_cells(np.array([50, 50]), [(5, 0, 1)], 20).tolist())) == 2
+    assert len(set(packing.merge_cells(np.array([50, 50]), *np.array([(5, 0, 1)]).T, 20).tolist())) == 2
+
+
+def test_cells_grow_as_a_root_of_the_nodes():
+    assert [packing.cells_for(n) for n in (0, 1, 999, 200_000)] == [1, 1, 1, 174]
+    assert packing.cells_for(10**10) == pytest.approx(3 * 10**5, rel=0.1)
 
 
 def test_packing_over_many_regions(spark, monkeypatch):
