@@ -29,6 +29,11 @@ def transactions(log: DataFrame) -> DataFrame:
     return per_tx.where("intent_seq is not null").select("tx_id", "intent_seq", "payload", state.alias("state"))
 
 
+def listed(log: DataFrame, state: str) -> DataFrame:
+    """The transactions of a state, in the order of their intents' seq."""
+    return transactions(log).where(F.col("state") == state).orderBy("intent_seq")
+
+
 def transaction_counts(log: DataFrame) -> DataFrame:
     found = transactions(log)
     return found.agg(*[F.count_if(F.col("state") == s).alias(f"{s}_count") for s in ("committed", "pending", "aborted")])
@@ -36,7 +41,7 @@ def transaction_counts(log: DataFrame) -> DataFrame:
 
 def to_apply(log: DataFrame, applied: DataFrame) -> DataFrame:
     """Committed transactions whose tx_id isn't in ``applied``, in the order of their intents' seq."""
-    return transactions(log).where("state = 'committed'").join(applied.select("tx_id"), "tx_id", "left_anti").orderBy("intent_seq")
+    return listed(log, "committed").join(applied.select("tx_id"), "tx_id", "left_anti").orderBy("intent_seq")
 
 
 def next_seq(log: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ def write_snapshot(seeds: DataFrame, bridges: DataFrame, log: DataFrame, path: s
     counts = {}
     for name, base, what, kind in (("seeds", seeds, "SEED", "bseed"), ("bridges", bridges, "BRIDGE", "bbridge")):
         live = replay.compact(base, replay.with_fallback_keys(log, what), what)
-        live.withColumn("source_kind", F.lit(kind)).write.parquet(f"{aside}/{name}")
+        replay.in_order(live.withColumn("source_kind", F.lit(kind))).write.parquet(f"{aside}/{name}")
         counts[name] = spark.read.parquet(f"{aside}/{name}").count()
     rows = spark.read.parquet(f"{aside}/seeds").unionByName(spark.read.parquet(f"{aside}/bridges"))
     keys = ("type", "kind", "relation", "trust_state", "seed_id", "bridge_id", "id")

@@ -246,7 +246,7 @@ def _applied(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tx(state: str) -> Query:
-    return lambda spark, sf_dir: replay.transactions(tx_log(spark, sf_dir)).where(F.col("state") == state)
+    return lambda spark, sf_dir: replay.listed(tx_log(spark, sf_dir), state)
 
 
 _WINDOW_DAY, _WINDOW_WEEK = _from(f'concept("{KIND}")', "FILTER ts IN last_day"), _from(f'concept("{KIND}")', "FILTER ts IN last_7_days")

@@ -186,6 +186,61 @@ def test_transactions(spark):
     assert {r["tx_id"]: (r["intent_seq"], r["payload"], r["state"]) for r in replay.transactions(log).collect()} == {"t1": (8, "a2", "committed"), "t2": (3, "b", "pending"), "t3": (4, "c", "aborted")}
 
 
+def test_promised_orders(spark):
+    log = spark.createDataFrame([(i, op, f"t{(i * 7) % 30}") for op, lo in (("INTENT", 0), ("COMMIT", 100)) for i in range(lo, lo + 30)], "seq long, op_type string, tx_id string").repartition(4)
+    seqs = [r["intent_seq"] for r in replay.listed(log, "committed").collect()]
+    assert seqs == sorted(seqs) and len(seqs) == 30
+    seqs = [r["intent_seq"] for r in replay.to_apply(log, spark.createDataFrame([("t7",)], "tx_id string")).collect()]
+    assert seqs == sorted(seqs) and len(seqs) == 29
+    keys = ["Z", "a", "é", "\U0001f642", "z", "A"]
+    live = replay.in_order(spark.createDataFrame([(k, "p") for k in keys], "key string, payload string").repartition(3))
+    assert [r["key"] for r in live.collect()] == sorted(keys)
+    rows = spark.createDataFrame([(i, "bseed" if i % 2 else "bbridge", i // 2, "T", "RAW", str(i), "") for i in range(20)], "record_id long, source_kind string, record_index int, payload_type string, trust_state string, logical_id string, relation string").repartition(3)
+    found = [(r["source_kind"], r["record_index"]) for r in index.find_rows(rows, "FIND type = T").collect()]
+    assert found == sorted(found) and len(found) == 20
+
+
+def test_ranks_and_siblings_of_a_hub(spark):
+    memory = spark.range(1000).selectExpr("999 - id as ord", "cast(id % 2 as string) as seed", "cast(id % 7 as string) as x").repartition(5)
+    parsed = bql.parse("FROM seed(1) BALLOON radius=1 direction=up FILTER x = 3 RETURN x TOP 30")
+    source = [o for o in range(1000) if (999 - o) % 2 == 1]
+    want = [(o, source.index(o) + 1) for o in source if (999 - o) % 7 == 3][:30]
+    assert sorted((r["record_id"], r["rank"]) for r in lookup.run(memory, parsed, NOW).collect()) == want
+    plan = lookup.run(memory, parsed, NOW)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    edges = spark.range(3000).selectExpr("'hub' as src", "cast(id as string) as dst").unionByName(spark.createDataFrame([("other", "1"), ("other", "x")], "src string, dst string"))
+    near = graph.neighbours(edges, spark.createDataFrame([("1",)], "node string"), 1, "lateral")
+    assert near.count() == 3001 and near.where("node = 'x'").first()["depth"] == 1
+    with pytest.raises(ValueError):
+        graph.neighbours(edges, spark.createDataFrame([("1",)], "node string"), 1, "sideways")
+
+
+def test_running_sums_over_ranges(spark):
+    from ambergrid.sources.scratch import running_sums
+
+    got = running_sums(spark.range(500).selectExpr("(id * 37) % 500 as k").repartition(6), "k", F.col("k") + 1, "upto").collect()
+    assert all(r["upto"] == (r["k"] + 1) * (r["k"] + 2) // 2 for r in got) and len(got) == 500
+    assert running_sums(spark.range(0).selectExpr("id as k"), "k", F.lit(1), "upto").collect() == []
+
+
+def test_packs_as_folders_keep_line_numbers(spark, tmp_path):
+    spark.range(1000).selectExpr("concat('{\"id\":\"SEED_', id, '\"}') as value", "id").repartitionByRange(4, "id").sortWithinPartitions("id").select("value").write.text(str(tmp_path / "code_seeds.bpack"))
+    rows, report = records.read_packs(spark, str(tmp_path))
+    assert all(r["line"] == int(r["record_id"][5:]) + 1 for r in rows.collect()) and rows.count() == 1000
+    assert {r["pack"]: r["records"] for r in report.collect()} == {p: 1000 if p == "code_seeds.bpack" else None for p in records.PACKS}
+    none, report = records.read_packs(spark, str(tmp_path / "absent"))
+    assert none.count() == 0 and report.where("records is null").count() == 5
+
+
+def test_gates(spark):
+    from ambergrid.plans import gates
+
+    checks = lambda *rows: gates.summary(spark.createDataFrame(rows, "status string, required boolean")).first().asDict()
+    good = checks((gates.PASSED, True), (gates.SKIPPED, False), (gates.PASSED, False))
+    assert good["passed"] and (good["required_total"], good["optional_total"], good["optional_skipped"]) == (1, 2, 1)
+    assert not checks((gates.SKIPPED, True))["passed"] and not checks((None, None))["passed"]
+
+
 def test_validation(spark):
     rows = spark.createDataFrame([Row(record_type="seed", seed_id="s", seed_type=" "), Row(record_type="SEED", seed_id="s", seed_type="t"), Row(record_type="?", seed_id="s", seed_type="t")])
     assert [r["error"] for r in replay.validated(rows).collect()] == ["seed_type", None, "unknown type"]
