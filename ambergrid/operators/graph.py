@@ -6,6 +6,7 @@ other is known by, and over a table of edges, where a direction can be given.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..sources.scratch import persist
@@ -43,25 +44,28 @@ def expand_records(records: DataFrame, start: DataFrame, radius: int = 1, max_re
     ``max_results`` in all; the next frontier is what these know: at most MAX_IDS of their
     identifiers each, by prefix, sorted. The loop has at most ``radius`` rounds.
     """
+    spark = records.sparkSession
     known = records.withColumn("all", F.array_union("strings", F.array("record_id", "pointer")))
-    words = known.select("pointer", F.explode("all").alias("s"))
     ids = F.slice(F.array_sort(F.filter("all", lambda s: F.array_contains(F.array(*map(F.lit, PREFIXES)), F.regexp_extract(s, r"^[A-Z]+_", 0)))), 1, MAX_IDS)
-    frontier = start.select(F.explode(F.array("record_id", "pointer")).alias("s")).distinct()
-    out, left = None, max_results
+    words = known.select("pointer", F.explode("all").alias("s"))
+    first = start.select(F.explode(F.array("record_id", "pointer")).alias("s")).distinct()
+    level = known.join(words.join(_small(first), "s", "left_semi").select("pointer").distinct(), "pointer", "left_semi")
+    found: list[pa.Table] = []
     for depth in range(1, min(radius, MAX_RADIUS) + 1):
-        near = words.join(_small(frontier), "s", "left_semi").select("pointer").distinct()
-        level = known.join(near, "pointer", "left_semi")
-        if out is not None:
-            level = level.join(out.select("pointer"), "pointer", "left_anti")
-        # bounded by max_results: kept on the driver, so that levels don't recompute each other
+        # at most max_results rows in all, so they and what they know are kept on the driver
+        left = max_results - sum(t.num_rows for t in found)
         rows = level.orderBy("ord").limit(left).select("ord", F.lit(depth).alias("depth"), "pointer", "record_id", "pack", F.array_distinct(ids).alias("ids")).toArrow()
-        found = records.sparkSession.createDataFrame(rows)
-        out = found if out is None else out.unionByName(found)
-        left -= rows.num_rows
-        if not rows.num_rows or left <= 0:
+        found.append(rows)
+        frontier = sorted({s for x in rows["ids"].to_pylist() for s in x})
+        if not frontier or rows.num_rows == left:
             break
-        frontier = found.select(F.explode("ids").alias("s")).distinct()
-    return out.select("ord", "depth", "pointer", "record_id", "pack", "ids")
+        taken = [x for t in found for x in t["pointer"].to_pylist()]
+        asked = spark.createDataFrame([(frontier, taken)], "frontier array<string>, taken array<string>")
+        # one scan, without a shuffle but for its first rows
+        level = known.where(F.arrays_overlap("all", asked.select("frontier").scalar()) & ~F.array_contains(asked.select("taken").scalar(), F.col("pointer")))
+    if not found:  # a radius below 1
+        return known.limit(0).select("ord", F.lit(0).alias("depth"), "pointer", "record_id", "pack", F.array_distinct(ids).alias("ids"))
+    return spark.createDataFrame(pa.concat_tables(found))
 
 
 def neighbours(edges: DataFrame, start: DataFrame, radius: int, direction: str) -> DataFrame:

@@ -13,7 +13,7 @@ from ..functions import canonical
 from ..lang import bql
 from ..operators import graph, index, lookup, replay, snapshots, store
 from ..sources import frames, records
-from ..sources.scratch import new_path
+from ..sources.scratch import new_path, persist
 from . import catalogue, gates
 from .catalogue import KIND, NOW_MS, TS_MS, USER, Query, _named, _read
 
@@ -134,7 +134,7 @@ def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _expansion(start: str, radius: int, most: int = 50) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows, _ = records.read_packs(spark, packs(spark, sf_dir))
+        rows = persist(records.read_packs(spark, packs(spark, sf_dir))[0], "pack-rows")  # every level reads them
         found = graph.expand_records(rows, rows.where(F.col("record_id") == start).select("record_id", "pointer"), radius, most)
         return found.select("ord", "depth", "pointer", "record_id", "pack", F.concat_ws("|", "ids").alias("ids"))
 

@@ -158,6 +158,8 @@ def test_packs_search_and_expansion(spark, tmp_path):
     level = lambda r: [(x["depth"], x["record_id"]) for x in graph.expand_records(rows, start, r).orderBy("depth", "ord").collect()]
     assert level(1) == [(1, "SEED_a"), (1, "SEED_b")]
     assert level(3) == [(1, "SEED_a"), (1, "SEED_b"), (2, "SEED_c")]
+    assert level(0) == [] and graph.expand_records(rows, start.limit(0), 2).collect() == []
+    assert [r["record_id"] for r in graph.expand_records(rows, start, 3, 2).collect()] == ["SEED_a", "SEED_b"]
 
 
 def test_replay_against_a_model(spark):
